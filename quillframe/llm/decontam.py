@@ -26,6 +26,9 @@ from ._shared import mix64, table
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 
 
+ADDED = ("_n_words", "_hits", "_items")
+
+
 def fold_words(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
@@ -73,7 +76,7 @@ def _windows(items: list[tuple], n: int) -> dict[int, dict[tuple, list]]:
 
 
 def _scan(items: list[tuple], n: int, names: list[str], text_col: str):
-    """A mapInArrow function that adds one block's hits to _hits (word ranges) and _items."""
+    """A mapInArrow function that sets _n_words and adds one block's hits to _hits (word ranges) and _items."""
 
     def run(batches):
         sizes = []
@@ -83,10 +86,11 @@ def _scan(items: list[tuple], n: int, names: list[str], text_col: str):
             order = np.argsort(keys)
             sizes.append((size, keys[order], [list(windows.items())[i] for i in order]))
         for batch in batches:
-            hits_out, items_out = [], []
+            hits_out, items_out, n_out = [], [], []
             for text, hits, ids in zip(batch.column(text_col), batch.column("_hits"), batch.column("_items"), strict=True):
                 words = fold_words(text.as_py())
                 hits, ids = list(hits.as_py()), set(ids.as_py())
+                n_out.append(len(words))
                 hashed = hashes.of(words)
                 for size, keys, windows in sizes:
                     own = window_hashes(hashed, size)
@@ -102,8 +106,8 @@ def _scan(items: list[tuple], n: int, names: list[str], text_col: str):
                             k += 1
                 hits_out.append(_union(hits))
                 items_out.append(sorted(ids))
-            cols = [batch.column(c) for c in names] + [pa.array(hits_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "_hits", "_items"])
+            cols = [batch.column(c) for c in names] + [pa.array(n_out, pa.int64()), pa.array(hits_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *ADDED])
 
     return run
 
@@ -124,6 +128,7 @@ def benchmark_blocks(benchmark: DataFrame, *, block_words=2_000_000, id_col="ite
 
     Items come through the driver one partition at a time and leave in blocks:
     the memory it takes follows the benchmark's size, never that of the documents.
+    An empty benchmark is one empty block.
     """
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
@@ -133,30 +138,25 @@ def benchmark_blocks(benchmark: DataFrame, *, block_words=2_000_000, id_col="ite
             block, size = [], 0
         block.append((row[0], words))
         size += len(words)
-    if block:
-        yield block
+    yield block
 
 
 def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col="text", block_words=2_000_000) -> DataFrame:
-    """docs with _hits (disjoint ranges of hit words, flattened) and _items (ids of items with windows in the text, as text).
+    """docs with _n_words, _hits (disjoint ranges of hit words, flattened) and _items (ids of items with windows in the text, as text).
 
     An item of fewer than n words, but not none, is one window. Null and wordless
     texts, on either side, have no hits; repeated items share their hits; items
     with a null id are left out. An empty benchmark or table gives no hits.
     """
-    docs = docs.drop("_hits", "_items").withColumns({"_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
-    names = [c for c in docs.columns if c not in ("_hits", "_items")]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
+    docs = docs.drop(*ADDED).withColumns({"_n_words": F.lit(0).cast("bigint"), "_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    names = [c for c in docs.columns if c not in ADDED]
+    kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(ADDED, kinds, strict=True)])
     for block in benchmark_blocks(benchmark.filter("item_id is not null"), block_words=block_words):
         docs = docs.mapInArrow(_scan(block, n, names, text_col), schema)
     return docs
 
 
-@F.pandas_udf("long")
-def _n_words(texts):
-    return texts.map(lambda t: len(fold_words(t)))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n=10, mode="document", text_col="text") -> DataFrame:
     """docs without benchmark content, in the columns of docs.
 
@@ -195,7 +195,7 @@ def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate(F.transform("_hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id",
-        _n_words("text").alias("n_words"),
+        F.col("_n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),

@@ -56,10 +56,9 @@ def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source",
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], f"_s {docs.schema[source_col].dataType.simpleString()}, _w double")
         weighted = counts.join(given, counts[source_col].eqNullSafe(given["_s"]), "left").fillna(0.0, ["_w"]).drop("_s")
-    sums = weighted.agg(F.sum("_w").alias("_all_w"), F.sum("n_rows").alias("_all_n"))
-    # sums is one row, so the nested loop it takes is bounded
-    rate = F.when(F.col("_all_w") > 0, F.col("_w") / F.col("_all_w") * F.col("_all_n") * F.lit(total_factor) / F.col("n_rows")).otherwise(0.0)
-    return weighted.join(F.broadcast(sums)).select(source_col, "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    all_w, all_n = weighted.agg(F.sum("_w"), F.sum("n_rows")).first()
+    rate = F.col("_w") / F.lit(all_w) * F.lit(all_n) * F.lit(total_factor) / F.col("n_rows") if all_w else F.lit(0.0)
+    return weighted.select(source_col, "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_factor=1.0, id_col="doc_id", source_col="source") -> DataFrame:

@@ -118,14 +118,12 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int, *, bits=4, s
     subs = counts.select("hilbert", "_sub", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before"))
     ahead = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("hilbert").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.select("hilbert", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    offsets = subs.join(F.broadcast(cells), "hilbert").select("hilbert", "_sub", (F.col("_start") + F.col("_before")).alias("_offset"))
-    total = placed.groupBy().count().select(F.col("count").alias("_total"))
+    cells = cells.select("hilbert", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    offsets = subs.join(F.broadcast(cells), "hilbert").select("hilbert", "_sub", (F.col("_start") + F.col("_before")).alias("_offset"), "_total")
     simple = [f.name for f in docs.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.TimestampType, T.DateType))]
     ties = [F.xxhash64(*[F.col(c) for c in simple])] if simple else []
     here = Window.partitionBy("hilbert", "_sub").orderBy("_h", id_col, *ties)
     ranked = placed.join(offsets, ["hilbert", "_sub"]).withColumn("_rank", F.col("_offset") + F.row_number().over(here) - 1)
-    ranked = ranked.join(F.broadcast(total))
     shard = F.expr(f"(_rank * {n_shards}L) div _total")
     first = F.expr(f"(_shard * _total + {n_shards - 1}L) div {n_shards}L")
     return ranked.withColumn("_shard", shard).select(*names, "hilbert", F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"))
