@@ -1,16 +1,18 @@
 """The corpus operators' queries and their SQL."""
 
-from . import decontam, exact_dedup, language_id, mixing, secret_scan, sharding, toxicity
+from . import decontam, exact_dedup, language_id, mixing, secret_scan, sharding, subword_lm, suffix_dedup, toxicity
 
 
 def queries():
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
         "op2_poisson_mix": mixing.op2_poisson_mix,
+        "op4_subword_lm": subword_lm.op4_subword_lm,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_language_id": language_id.op6_language_id,
         "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
