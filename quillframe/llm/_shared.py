@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +90,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= MIX[1]
     x ^= x >> np.uint64(31)
     return x
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept between documents up to a bound."""
+
+    def __init__(self, limit=400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of n consecutive words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i * i) & 0xFFFFFFFFFFFFFFFF | 1)
+        out += words[i : len(words) - n + 1 + i] * factor
+    return mix64(out)

@@ -12,15 +12,13 @@ handled with bounded memory and no shuffle of documents.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import mix64, table
+from ._shared import WordHashes, table, window_hashes
 
 #: Bytes that belong to words once A-Z are lowered: digits, a-z and all of non-ASCII.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
@@ -33,34 +31,6 @@ def fold_words(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept between documents up to a bound."""
-
-    def __init__(self, limit=400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n consecutive words."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i * i) & 0xFFFFFFFFFFFFFFFF | 1)
-        out += words[i : len(words) - n + 1 + i] * factor
-    return mix64(out)
-
-
 def _windows(items: list[tuple], n: int) -> dict[int, dict[tuple, list]]:
     """By window length: window words -> the items that hold it."""
     found: dict[int, dict[tuple, list]] = {}

@@ -23,25 +23,25 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_count(rate: Column, u: Column) -> Column:
-    """The smallest k with P(X <= k) > u for X of a Poisson distribution of this rate.
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of a Poisson distribution of this rate.
 
-    The sum runs over as many terms as the far tail can need (rate + 12 standard
-    deviations + 40), beyond which 52 bits cannot tell u from 1.
+    As many terms as the far tail can need (rate + 12 standard deviations + 40),
+    beyond which 52 bits cannot tell a sum from 1.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(acc, i):
         p = acc["p"] * rate / i
-        more = acc["cdf"] <= u
-        return F.struct(
-            F.when(more, p).otherwise(acc["p"]).alias("p"),
-            F.when(more, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"),
-            F.when(more, i).otherwise(acc["k"]).alias("k"),
-        )
+        return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
+
+
+def poisson_count(cdf: Column, u: Column) -> Column:
+    """The smallest k with P(X <= k) > u. The transform makes u a variable, computed once a row."""
+    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(cdf, lambda c: c <= x))), F.lit(0))
 
 
 def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source", total_factor=1.0) -> DataFrame:
@@ -72,9 +72,9 @@ def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_
     """
     docs = docs.drop("copy_no", "n_copies", "shuffle_key")
     rates = source_rates(docs, targets, source_col=source_col, total_factor=total_factor)
-    rates = rates.select(F.col(source_col).alias("_source"), F.col("rate").alias("_rate"))
+    rates = rates.filter("rate > 0").select(F.col(source_col).alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.join(rates, docs[source_col].eqNullSafe(F.col("_source"))).withColumn("n_copies", poisson_count(F.col("_rate"), uniform(seed, ident)))
+    counted = docs.join(rates, docs[source_col].eqNullSafe(F.col("_source"))).withColumn("n_copies", poisson_count(F.col("_cdf"), uniform(seed, ident)))
     copies = counted.filter("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}.order"), ident, F.col("copy_no").cast("string")).cast("binary")))
     out = keyed.select(*[docs[c] for c in docs.columns], "copy_no", "n_copies", "shuffle_key")

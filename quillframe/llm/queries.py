@@ -1,12 +1,13 @@
 """The corpus operators' queries and their SQL."""
 
-from . import decontam, exact_dedup, language_id, mixing, secret_scan, sharding, subword_lm, suffix_dedup, toxicity
+from . import decontam, exact_dedup, language_id, mixing, ngram_join, secret_scan, sharding, subword_lm, suffix_dedup, toxicity
 
 
 def queries():
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
         "op2_poisson_mix": mixing.op2_poisson_mix,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_subword_lm": subword_lm.op4_subword_lm,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_language_id": language_id.op6_language_id,
