@@ -1,9 +1,470 @@
-"""Every query of the extraction and validation operators, with its SQL."""
+"""Every query of the extraction and validation operators, with its SQL for DuckDB.
+
+Strings that the cleaners read are built from numbers and dates of the tables, so
+that both engines start from the same characters.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import clean
+from ..functions.pytext import norm_key
+from ..operators import layout, sample, validate
+from ..operators.fields import canonical_label, key_values, targeted_fields
+from ..operators.layout import group_lines, near_section_join
+from .extract import column_key, raw_fields
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- validation: customers against a copy with rows left out, blanks, padding and changed case
+
+_TRUE = "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation, c_custkey AS ord FROM customer WHERE c_custkey % 50 <> 7"
+_READ = """SELECT CAST(c_custkey AS VARCHAR) AS k,
+  CASE WHEN c_custkey % 11 = 3 THEN '' WHEN c_custkey % 13 = 5 THEN '  ' || c_name || ' ' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 17 = 2 THEN lower(c_mktsegment) WHEN c_custkey % 19 = 4 THEN '' ELSE c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 23 = 6 THEN CAST(c_nationkey + 1 AS VARCHAR) ELSE CAST(c_nationkey AS VARCHAR) END AS nation,
+  c_custkey AS ord FROM customer WHERE c_custkey % 37 <> 5"""
+
+
+def _sides(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    true = c.filter(k % 50 != 7).select(k.cast("string").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), k.alias("_ord"))
+    name = F.when(k % 11 == 3, "").when(k % 13 == 5, F.concat(F.lit("  "), "c_name", F.lit(" "))).otherwise(F.col("c_name"))
+    segment = F.when(k % 17 == 2, F.lower("c_mktsegment")).when(k % 19 == 4, "").otherwise(F.col("c_mktsegment"))
+    nation = F.when(k % 23 == 6, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).cast("string")
+    read = c.filter(k % 37 != 5).select(k.cast("string").alias("k"), name.alias("name"), segment.alias("segment"), nation.alias("nation"), k.alias("_ord"))
+    return true, read
+
+
+def _validation(spark, sf_dir, **options):
+    return validate.validate(*_sides(spark, sf_dir), "k", **options)
+
+
+_CELLS = f"""WITH g AS ({_TRUE}), o AS ({_READ}),
+cells AS (
+  SELECT g.k, g.ord, x.name AS col, x.gv, x.ov FROM g JOIN o ON g.k = o.k, LATERAL (
+    SELECT unnest(['k', 'name', 'segment', 'nation']) AS name, unnest([trim(g.k), trim(g.name), trim(g.segment), trim(g.nation)]) AS gv, unnest([trim(o.k), trim(o.name), trim(o.segment), trim(o.nation)]) AS ov) x
+)"""
+
+
+def validate_columns(spark, sf_dir):
+    return _validation(spark, sf_dir).columns.select("column", "total_compared", "matches", "mismatches", "missing")
+
+
+_VALIDATE_COLUMNS = _CELLS + """
+SELECT col AS "column", count(*) AS total_compared, count(*) FILTER (WHERE gv = ov) AS matches, count(*) FILTER (WHERE gv <> ov) AS mismatches,
+  count(*) FILTER (WHERE gv <> '' AND ov = '') AS missing FROM cells GROUP BY col"""
+
+
+def validate_overall(spark, sf_dir):
+    names = ["total_records_ground_truth", "total_records_ocr", "shared_records", "rows_passing", "rows_missing", "total_matches", "overall_missing", "total_field_comparisons"]
+    found = _validation(spark, sf_dir).overall
+    return found.select(*[F.col(n).cast("long").alias(n) for n in names], "overall_accuracy", "row_pass_rate", "row_missing_rate", "overall_missing_rate")
+
+
+_VALIDATE_OVERALL = _CELLS + """, r AS (
+  SELECT k, bool_and(gv = ov) AS pass, bool_or(gv <> '' AND ov = '') AS lacks FROM cells GROUP BY k
+), n AS (
+  SELECT (SELECT count(*) FROM g) AS total_records_ground_truth, (SELECT count(*) FROM o) AS total_records_ocr, (SELECT count(*) FROM r) AS shared_records,
+  (SELECT count(*) FILTER (WHERE pass) FROM r) AS rows_passing, (SELECT count(*) FILTER (WHERE lacks) FROM r) AS rows_missing,
+  (SELECT count(*) FILTER (WHERE gv = ov) FROM cells) AS total_matches, (SELECT count(*) FILTER (WHERE gv <> '' AND ov = '') FROM cells) AS overall_missing,
+  (SELECT count(*) FROM cells) AS total_field_comparisons
+)
+SELECT *, round_even(total_matches / total_field_comparisons, 4) AS overall_accuracy, round_even(rows_passing / shared_records, 4) AS row_pass_rate,
+  round_even(rows_missing / shared_records, 4) AS row_missing_rate, round_even(overall_missing / total_field_comparisons, 4) AS overall_missing_rate FROM n"""
+
+
+def validate_rows(spark, sf_dir):
+    compared, _ = validate.compare(*_sides(spark, sf_dir), "k")
+    unlike = F.size(F.filter("cells", lambda c: c["expected"] != c["ocr"])).cast("long")
+    return compared.filter("in_gt and in_ocr").select("key", unlike.alias("n_mismatches"), (unlike == 0).alias("passing"))
+
+
+_VALIDATE_ROWS = _CELLS + " SELECT k AS key, count(*) FILTER (WHERE gv <> ov) AS n_mismatches, bool_and(gv = ov) AS passing FROM cells GROUP BY k"
+
+
+def missing_in_ground_truth(spark, sf_dir):
+    return _validation(spark, sf_dir).missing_in_ground_truth.select("key")
+
+
+def missing_in_ocr(spark, sf_dir):
+    return _validation(spark, sf_dir).missing_in_ocr.select("key")
+
+
+_MISSING_GT = f"WITH g AS ({_TRUE}), o AS ({_READ}) SELECT o.k AS key FROM o ANTI JOIN g ON o.k = g.k"
+_MISSING_OCR = f"WITH g AS ({_TRUE}), o AS ({_READ}) SELECT g.k AS key FROM g ANTI JOIN o ON o.k = g.k"
+
+
+def mismatch_samples(spark, sf_dir):
+    """Five mismatches a column: the report's feature."""
+    return _validation(spark, sf_dir, max_samples=5).mismatches.select("column", "key", "expected", "ocr")
+
+
+_SAMPLES = _CELLS + """ SELECT col AS "column", k AS key, gv AS expected, ov AS ocr FROM cells WHERE gv <> ov QUALIFY row_number() OVER (PARTITION BY col ORDER BY ord) <= 5"""
+
+
+def duplicate_keys(spark, sf_dir):
+    return validate.duplicate_keys(_t(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+_DUPLICATES = "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1"
+
+
+def blank_keys(spark, sf_dir):
+    docs = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 1, " ").when(F.col("o_orderkey") % 7 == 2, None).otherwise(F.col("o_orderpriority")).alias("p"))
+    return validate.blank_keys(docs, "p").select("o_orderkey")
+
+
+_BLANK = "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 IN (1, 2)"
+
+
+# --- fields
+
+
+def kv_extract(spark, sf_dir):
+    """Key/value lines of three columns a customer, one key twice."""
+    text = F.concat(F.lit("Name: "), "c_name", F.lit("\n  Segment - "), F.lower("c_mktsegment"), F.lit("\nno pair here\nName: "), F.col("c_custkey").cast("string"), F.lit("\nab"))
+    found = _t(spark, sf_dir, "customer").select("c_custkey", F.explode(key_values(text)).alias("f"))
+    return found.select("c_custkey", F.col("f.key").alias("key"), F.col("f.value").alias("value"))
+
+
+_KV = """SELECT c_custkey, 'Name' AS key, CASE WHEN contains(c_name, CAST(c_custkey AS VARCHAR)) THEN CAST(c_custkey AS VARCHAR) ELSE c_name || ' | ' || c_custkey END AS value FROM customer
+UNION ALL SELECT c_custkey, 'Segment', lower(c_mktsegment) FROM customer"""
+
+
+def kv_documents(spark, sf_dir):
+    """Canonical fields of every whole document by both extractors."""
+    docs = _t(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(raw_fields(F.coalesce("text", F.lit("")))).alias("label", "value"))
+    return found
+
+
+def targeted(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Invoice\nPO Number: "), F.col("o_orderkey").cast("string"), F.lit("\n  TOTAL in words: many\nTotal : "), F.col("o_custkey").cast("string"), F.lit(" USD\nBank Name\n\nNote x\n"), "o_orderpriority", F.lit("\n"))
+    found = o.select("o_orderkey", F.explode(targeted_fields(text)).alias("f"))
+    return found.select("o_orderkey", F.col("f.key").alias("key"), F.col("f.value").alias("value"))
+
+
+_TARGETED = """SELECT o_orderkey, 'PO Number' AS key, CAST(o_orderkey AS VARCHAR) AS value FROM orders
+UNION ALL SELECT o_orderkey, 'Tel', 'in words: many' FROM orders -- the label `tal` ends the word TOTAL
+UNION ALL SELECT o_orderkey, 'TOTAL', CAST(o_custkey AS VARCHAR) || ' USD' FROM orders
+UNION ALL SELECT o_orderkey, 'Bank Name', 'Note x' FROM orders"""
+
+
+_LABELS = "Phone|PO No.|Sub-Total|Total in words|DISCOUNT(1.85%)|taxi fare|Acct Number|Swift Code|bankname|Region|...|total USD|Branch"
+
+
+def canonical_labels(spark, sf_dir):
+    r = _t(spark, sf_dir, "region").select("r_regionkey", F.explode(F.split(F.lit(_LABELS), r"\|")).alias("label"))
+    return r.select("r_regionkey", "label", canonical_label(F.col("label")).alias("canonical"))
+
+
+_CANONICAL = f"""WITH l AS (SELECT r_regionkey, unnest(string_split('{_LABELS}', '|')) AS label FROM region),
+n AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS k FROM l)
+SELECT r_regionkey, label, CASE WHEN contains(k, 'in words') THEN '' WHEN k = 'phone' THEN 'tel' WHEN k = 'po no' THEN 'po number' WHEN k = 'sub total' THEN 'sub total'
+  WHEN starts_with(k, 'discount') THEN 'discount' WHEN starts_with(k, 'tax') THEN 'tax' WHEN k = 'acct number' THEN 'bank account number' WHEN k = 'swift code' THEN 'bank swift code'
+  WHEN k = 'bankname' THEN 'bank name' WHEN starts_with(k, 'total') THEN 'total' WHEN k = 'branch' THEN 'branch name' ELSE k END AS canonical FROM n"""
+
+
+# --- cleaners
+
+
+def email_clean(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", clean.clean_email(F.regexp_extract("text", r"[a-z0-9.]+@[a-z.]+", 0)).alias("email")).filter("email <> ''")
+
+
+_EMAIL = """WITH e AS (SELECT doc_id, regexp_extract(text, '[a-z0-9.]+@[a-z.]+') AS raw FROM documents WHERE contains(text, '@')),
+c AS (SELECT doc_id, regexp_extract(raw, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+(?:info|com|net|org|biz|gov|edu|int|app|dev|co|io|id|us|uk|me|ai)') AS email FROM e)
+SELECT doc_id, lower(email) AS email FROM c WHERE email <> '' AND NOT contains(lower(email), 'melvin')"""
+
+
+def tel_clean(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\+1 \(\d{3}\) \d{3}-\d{4}"))
+    return docs.select("doc_id", clean.clean_tel(F.regexp_extract("text", r"\+1 \(\d{3}\) \d{3}-\d{4}", 0)).alias("tel"))
+
+
+_TEL = r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_extract(text, '\+1 \(\d{3}\) \d{3}-\d{4}'), '[^0-9]', '', 'g') AS n FROM documents WHERE regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}'))
+SELECT doc_id, '+(' || substr(n, 1, 3) || ')' || substr(n, 4, 3) || '-' || substr(n, 7, 4) AS tel FROM d"""
+
+
+def site_clean(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", clean.clean_site(F.col("url")).alias("site"))
+
+
+def site_score(spark, sf_dir):
+    s = clean.site_score(F.col("url"))
+    return _t(spark, sf_dir, "pages").select("page_id", *[s[c].cast("long").alias(c) for c in ("shape", "spaces", "marks", "length")])
+
+
+_SITE_SCORE = r"""WITH h AS (SELECT page_id, lower(url) AS u, regexp_matches(lower(url), '^https?://') AS s, split_part(trim(regexp_replace(lower(url), '^https?://', ''), '/'), '/', 1) AS host FROM pages)
+SELECT page_id, s::BIGINT + 2 * regexp_matches(host, '\.(info|com|net|org|biz|gov|edu|int|app|dev|co|io|id|us|uk|me|ai)$')::BIGINT + starts_with(host, 'www.')::BIGINT AS shape,
+  -(regexp_matches(u, '\s')::BIGINT) AS spaces, -(length(u) - length(regexp_replace(u, '[!|,;?]', '', 'g')))::BIGINT AS marks, -(length(host))::BIGINT AS length FROM h"""
+
+_CENTS = "CAST(CAST(l_partkey * 7 + l_suppkey AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(l_partkey % 100 AS VARCHAR), 2, '0')"
+
+
+def _cents():
+    return F.concat((F.col("l_partkey") * 7 + F.col("l_suppkey")).cast("string"), F.lit("."), F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0"))
+
+
+def _line_key():
+    return [F.col("l_orderkey"), F.col("l_linenumber")]
+
+
+def currency_clean(spark, sf_dir):
+    k = F.col("l_orderkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit("US$ "), _cents())).when(k == 1, F.concat(_cents(), F.lit(" eur"))).when(k == 2, F.concat(F.lit("x 1, "), _cents(), F.lit(" €"))).when(k == 3, _cents()).otherwise(F.lit(" no amount  here "))
+    return _t(spark, sf_dir, "lineitem").select(*_line_key(), clean.clean_currency(raw).alias("amount"))
+
+
+_CURRENCY = f"""SELECT l_orderkey, l_linenumber, CASE l_orderkey % 5 WHEN 0 THEN {_CENTS} || ' $' WHEN 1 THEN {_CENTS} || ' EUR' WHEN 2 THEN {_CENTS} || ' €' WHEN 3 THEN {_CENTS} || ' USD' ELSE 'no amount here' END AS amount FROM lineitem"""
+
+
+def numeric_amount(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select(*_line_key(), clean.numeric_amount(F.concat(F.lit("total 1,"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit(" or 5"))).alias("amount"))
+
+
+_NUMERIC = "SELECT l_orderkey, l_linenumber, (1000 + l_partkey % 1000)::DOUBLE AS amount FROM lineitem"
+
+
+def tax_clean(spark, sf_dir):
+    percent, sub = (F.col("l_partkey") % 9 + 1), (F.col("l_suppkey") % 90 + 10) * 100
+    k = F.col("l_orderkey") % 3
+    right = (percent * sub / 100).cast("int").cast("string")
+    raw = F.concat(F.lit("VAT ("), percent.cast("string"), F.lit("%): "), F.when(k == 0, right).when(k == 1, F.lit("9999")).otherwise(F.lit("none")), F.lit(" EUR"))
+    return _t(spark, sf_dir, "lineitem").select(*_line_key(), clean.clean_tax(raw, F.concat(sub.cast("string"), F.lit(".00 EUR"))).alias("tax"))
+
+
+_TAX = """SELECT l_orderkey, l_linenumber, 'VAT (' || (l_partkey % 9 + 1) || '.00%): ' || ((l_partkey % 9 + 1) * (l_suppkey % 90 + 10)) || '.00 EUR' AS tax FROM lineitem"""
+
+
+def due_date_clean(spark, sf_dir):
+    form = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d/MMM/yy")).otherwise(F.date_format("o_orderdate", "dd-MMMM-yyyy"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", clean.clean_due_date(F.concat(F.lit("  due "), form, F.lit(" ."))).alias("due"))
+
+
+_DUE = "SELECT o_orderkey, strftime(o_orderdate, '%d-%b-%Y') AS due FROM orders"
+
+
+def small_fields(spark, sf_dir):
+    """PO number, discount, branch, bank and swift cleaners over parts."""
+    p = _t(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    return p.select(
+        "p_partkey",
+        clean.clean_po_number(F.concat(F.lit("PO 7 / "), key, F.lit(" .;"))).alias("po"),
+        clean.clean_discount(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("(.) "), key)).otherwise(F.concat(F.lit("(-) "), key, F.lit(",")))).alias("discount"),
+        clean.clean_branch_name(F.concat(F.lit(" ."), "p_brand", F.lit("   x- "))).alias("branch"),
+        clean.clean_bank_name(F.when(F.col("p_partkey") % 3 == 0, F.lit("Swift Code 1")).otherwise(F.concat(F.lit("Gentral  bank "), key))).alias("bank"),
+        clean.clean_swift_code(F.concat(F.lit("-ab "), key, F.lit(".x"))).alias("swift"),
+    )
+
+
+_SMALL = """SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS po, '(-) ' || p_partkey AS discount, p_brand || ' x' AS branch,
+  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Central bank ' || p_partkey END AS bank, 'AB' || p_partkey || 'X' AS swift FROM part"""
+
+
+# --- layout: words of documents as tokens on a page grid
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"[ \n]+", " "), " ")).alias("pos", "text"))
+    pos = F.col("pos")
+    return docs.select(
+        "doc_id", "pos", "text", F.lit(1).alias("page_num"), F.lit(1).alias("block_num"), F.floor(pos / 200).cast("int").alias("par_num"), (F.floor(pos / 10) % 20).cast("int").alias("line_num"),
+        ((9 - pos % 10) * 50).cast("int").alias("left"), (F.floor(pos / 10) * 20).cast("int").alias("top"), F.lit(40).alias("width"), F.lit(15).alias("height"),
+    )
+
+
+_TOKENS = """t AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') AS w FROM documents)),
+l AS (SELECT doc_id, pos // 10 AS line, string_agg(text, ' ' ORDER BY pos DESC) AS text, min((9 - pos % 10) * 50) AS "left", min(pos // 10 * 20) AS top, max((9 - pos % 10) * 50) + 40 AS "right", max(pos // 10 * 20) + 15 AS bottom
+  FROM t WHERE trim(text) <> '' GROUP BY doc_id, pos // 10)"""
+
+
+def line_groups(spark, sf_dir):
+    found = group_lines(_tokens(spark, sf_dir))
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), *[F.col(c).cast("long").alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+_LINES = f"""WITH {_TOKENS} SELECT doc_id, md5(text) AS text_md5, "left"::BIGINT AS "left", top::BIGINT AS top, "right"::BIGINT AS "right", bottom::BIGINT AS bottom FROM l"""
+
+
+def near_section(spark, sf_dir):
+    """Events of a user within a span after one of that user's logins, by event number as position."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_id").cast("double").alias("center"), "event_type")
+    first = e.groupBy().agg(F.min("event_type").alias("t")).first()[0]
+    markers = e.filter(F.col("event_type") == first)
+    return near_section_join(e, markers, F.lit(120.0)).select("event_id")
+
+
+_NEAR = "WITH m AS (SELECT user_id, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM m WHERE m.user_id = e.user_id AND m.event_id < e.event_id AND e.event_id <= m.event_id + 120)"
+
+
+def best_contact(spark, sf_dir):
+    found = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_name").alias("names"))
+    return found.select("c_nationkey", layout.best_contact(F.lit("email"), F.col("names")).alias("best"))
+
+
+_BEST = "SELECT c_nationkey, c_name AS best FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_name) DESC, lower(c_name)) = 1"
+
+
+# --- sampling, sets, numbering, streams
+
+
+def first_wins(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("stem"), "page_id", F.col("url").alias("path"))
+    return sample.first_per(p, "stem", "page_id")
+
+
+_FIRST = "SELECT page_id % 40 AS stem, page_id, url AS path FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) = 1"
+
+
+def running_number(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    return n.select("n_nationkey", F.row_number().over(Window.orderBy("n_name", "n_nationkey")).cast("string").alias("nomor"))
+
+
+_RUNNING = "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name, n_nationkey) AS VARCHAR) AS nomor FROM nation"
+
+
+def pair_candidates(spark, sf_dir, prefix="Doc1"):
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("stem"), F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"))
+    n = _t(spark, sf_dir, "labels").select(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("stem"), F.concat(F.lit("b/"), F.col("doc_id").cast("string")).alias("path"))
+    return sample.pair_candidates(d, n, prefix=prefix)
+
+
+_PAIRS = "SELECT DISTINCT 'Doc' || d.doc_id AS stem, 'a/' || d.doc_id AS left_path, 'b/' || d.doc_id AS right_path FROM documents d JOIN labels l USING (doc_id) WHERE starts_with('Doc' || d.doc_id, 'Doc1')"
+
+
+def sample_pairs(spark, sf_dir):
+    """Fifty pairs by seed: a sampling operator."""
+    return sample.sample_rows(pair_candidates(spark, sf_dir, "Doc"), 50, 11, "stem")
+
+
+_SAMPLE = f"SELECT * FROM ({_PAIRS.replace("'Doc1'", "'Doc'")}) ORDER BY md5('11:' || stem), stem LIMIT 50"
+
+
+def archive_names(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit(".jpg")).alias("name"))
+    return sample.archive_names(c, "name", "c_custkey")
+
+
+_ARCHIVE = """WITH n AS (SELECT c_custkey, lower(c_mktsegment) AS s, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) - 1 AS k FROM customer)
+SELECT c_custkey, s || '.jpg' AS name, s || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg' AS target FROM n"""
+
+
+def _ids(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id")
+
+
+def ordered_union(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return sample.ordered_distinct(b.withColumn("ord", F.col("doc_id")), a.withColumn("ord", F.col("doc_id")), "doc_id")
+
+
+_UNION = "SELECT doc_id, CASE WHEN bool_or(s = 0) THEN 0 ELSE 1 END AS side, doc_id AS ord FROM (SELECT doc_id, 0 AS s FROM labels UNION ALL SELECT doc_id, 1 FROM documents) GROUP BY doc_id"
+
+
+def intersect(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.intersect(b)
+
+
+def except_both(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.join(b, "doc_id", "left_anti").select("doc_id", F.lit("only_documents").alias("side")).unionByName(b.join(a, "doc_id", "left_anti").select("doc_id", F.lit("only_labels").alias("side")))
+
+
+_EXCEPT = "SELECT doc_id, 'only_documents' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'only_labels' FROM labels ANTI JOIN documents USING (doc_id)"
+
+
+def latency_stats(spark, sf_dir):
+    from ..streaming.rows import latency
+
+    e = _t(spark, sf_dir, "events")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    gap = (F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))) * 1000
+    return latency(e.select(gap.alias("written_ms"))).select("rows", F.col("min_ms").alias("min_ms"), "max_ms", "total_ms")
+
+
+_LATENCY = """WITH g AS (SELECT 1000 * (s - lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ms FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events))
+SELECT count(ms) AS rows, min(ms) AS min_ms, max(ms) AS max_ms, sum(ms)::BIGINT AS total_ms FROM g"""
+
+
+def extract_invoices(spark, sf_dir):
+    """The whole extraction plan over orders written as invoices."""
+    from .extract import extract
+
+    o = _t(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit("PO Number : "), key, F.lit("\nDue Date: "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit("\nTel: +(352)259-8443\nEmail: a"), key, F.lit("@b.com\nSite: www.smith.org\nSUB_TOTAL : "),
+        F.col("o_custkey").cast("string"), F.lit(".00 EUR\nTOTAL : 7 $\nBank Name State Bank\nDISCOUNT(1%): (-) 2.50\nBranch Name Raf CAMP\nBank Account Number "), key, F.lit("\nBank Swift Code sbin-1"),
+    )
+    found = extract(o.select(key.alias("path"), text.alias("text")))
+    return found.select("path", *[F.col(f"`{c}`").alias(column_key(c).replace(" ", "_")) for c in found.columns if c != "path"])
+
+
+_INVOICES = """SELECT CAST(o_orderkey AS VARCHAR) AS path, strftime(o_orderdate, '%d-%b-%Y') AS due_date, CAST(o_orderkey AS VARCHAR) AS po_number, '+(352)259-8443' AS tel, 'a' || o_orderkey || '@b.com' AS email,
+  'https://www.smith.org/' AS site, o_custkey || '.00 EUR' AS sub_total, '(-) 2.50' AS discount, '' AS tax, '7 $' AS total, 'State Bank' AS bank_name, 'Raf CAMP' AS branch_name, CAST(o_orderkey AS VARCHAR) AS bank_account_number, 'SBIN1' AS bank_swift_code FROM orders"""
+
+
+def norm_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", norm_key(F.concat("p_name", F.lit(" -- "), "p_type")).alias("key"))
+
+
+_NORM = "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS key FROM part"
+
+_ALL = {
+    "validate_columns": (validate_columns, _VALIDATE_COLUMNS),
+    "validate_rows": (validate_rows, _VALIDATE_ROWS),
+    "validate_overall": (validate_overall, _VALIDATE_OVERALL),
+    "missing_in_ground_truth": (missing_in_ground_truth, _MISSING_GT),
+    "missing_in_ocr": (missing_in_ocr, _MISSING_OCR),
+    "mismatch_samples_topn": (mismatch_samples, _SAMPLES),
+    "duplicate_keys": (duplicate_keys, _DUPLICATES),
+    "blank_keys": (blank_keys, _BLANK),
+    "kv_extract": (kv_extract, _KV),
+    "kv_documents": (kv_documents, None),
+    "targeted_fields": (targeted, _TARGETED),
+    "canonical_label": (canonical_labels, _CANONICAL),
+    "email_clean": (email_clean, _EMAIL),
+    "tel_clean": (tel_clean, _TEL),
+    "site_clean": (site_clean, None),
+    "site_score": (site_score, _SITE_SCORE),
+    "currency_clean": (currency_clean, _CURRENCY),
+    "numeric_amount": (numeric_amount, _NUMERIC),
+    "tax_clean": (tax_clean, _TAX),
+    "due_date_clean": (due_date_clean, _DUE),
+    "small_field_cleaners": (small_fields, _SMALL),
+    "line_group": (line_groups, _LINES),
+    "near_section_semi": (near_section, _NEAR),
+    "best_contact": (best_contact, _BEST),
+    "first_wins_dedup": (first_wins, _FIRST),
+    "running_number": (running_number, _RUNNING),
+    "pair_candidates": (pair_candidates, _PAIRS),
+    "sample_pairs": (sample_pairs, _SAMPLE),
+    "archive_names": (archive_names, _ARCHIVE),
+    "ordered_union": (ordered_union, _UNION),
+    "intersect": (intersect, "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"),
+    "except_both": (except_both, _EXCEPT),
+    "latency_stats": (latency_stats, _LATENCY),
+    "extract_invoices": (extract_invoices, _INVOICES),
+    "norm_key": (norm_keys, _NORM),
+}
 
 
 def queries():
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

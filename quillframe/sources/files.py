@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,8 +92,6 @@ def documents_from_annotations(annotations: DataFrame) -> DataFrame:
 
 def ocr_text(images: DataFrame, read, lang: str = "eng") -> DataFrame:
     """path, text of images (path, content), by a function of (bytes, lang) -> str; a failure of it gives ''."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(contents: pd.Series) -> pd.Series:
         def one(raw):
