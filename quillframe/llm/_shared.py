@@ -62,6 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores added until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Bytes of the files that df reads, 0 where there are none: a plan-time size, no job."""
     jvm = spark.sparkContext._jvm
@@ -109,12 +121,26 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def _powers(sign: int, n: int) -> np.ndarray:
+    """_BASE ** (sign * i) modulo 2**64 for i below n; kept, and grown by need."""
+    if len(_POWERS[sign]) < n:
+        table = np.full(max(n, 1 << 14), _BASE if sign > 0 else pow(_BASE, -1, 1 << 64), np.uint64)
+        table[0] = 1
+        _POWERS[sign] = np.multiply.accumulate(table)
+    return _POWERS[sign][:n]
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n consecutive words."""
+    """A hash for each run of n consecutive words, from differences of prefix sums of a polynomial."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i * i) & 0xFFFFFFFFFFFFFFFF | 1)
-        out += words[i : len(words) - n + 1 + i] * factor
-    return mix64(out)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(1, len(words)), out=sums[1:])
+    out = (sums[n:] - sums[:-n]) * _powers(-1, len(words) - n + 1)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))

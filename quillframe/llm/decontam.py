@@ -1,9 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
 Texts are folded to words; the hashes of all windows of n consecutive words of
-the benchmark's items form a sorted array that goes to the executors. Each
-document's windows are hashed in numpy and looked up; every hit is verified
-word by word before it counts.
+the benchmark's items form a set that goes to the executors. The windows of
+documents are hashed in numpy and looked up; every hit is verified word by word
+before it counts.
 
 The benchmark is broadcast in blocks of `block_words` item words. All blocks
 are chained over the documents in one stage, so any size of benchmark is
@@ -12,13 +12,15 @@ handled with bounded memory and no shuffle of documents.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import WordHashes, table, window_hashes
+from ._shared import fresh, mix64, table, window_hashes
 
 #: Bytes that belong to words once A-Z are lowered: digits, a-z and all of non-ASCII.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
@@ -45,39 +47,66 @@ def _windows(items: list[tuple], n: int) -> dict[int, dict[tuple, list]]:
     return found
 
 
-def _scan(items: list[tuple], n: int, names: list[str], text_col: str):
-    """A mapInArrow function that sets _n_words and adds one block's hits to _hits (word ranges) and _items."""
+class BlockScanner:
+    """Finds one block's windows in texts.
 
-    def run(batches):
-        sizes = []
-        hashes = WordHashes()
-        for size, windows in sorted(_windows(items, n).items()):
-            keys = np.concatenate([window_hashes(hashes.of(list(w)), size) for w in windows])
+    Words of the block have numbers and random codes; other words are 0 and part
+    a text into runs. Only runs as long as a window are hashed. A window's hash
+    must be marked in a bit table, then stand in the sorted array of the block's
+    hashes, then the words must be equal.
+    """
+
+    BITS = 20
+
+    def __init__(self, items: list[tuple], n: int):
+        found = _windows(items, n)
+        self.ids = {w: k for k, w in enumerate(sorted({w for at in found.values() for window in at for w in window}), 1)}
+        self.codes = mix64(np.arange(1, len(self.ids) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.sizes = []
+        for size, windows in sorted(found.items()):
+            numbers = np.array([[self.ids[w] for w in window] for window in windows])
+            keys = np.concatenate([window_hashes(self.codes[row], size) for row in numbers])
             order = np.argsort(keys)
-            sizes.append((size, keys[order], [list(windows.items())[i] for i in order]))
+            marks = np.zeros(1 << self.BITS, bool)
+            marks[keys >> np.uint64(64 - self.BITS)] = True
+            self.sizes.append((size, marks, keys[order], numbers[order], [list(windows.values())[k] for k in order]))
+
+    def find(self, words: list[bytes]) -> tuple[list[int], set]:
+        """Word ranges, flattened, and ids of items."""
+        hits, items = [], set()
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+        gaps = np.flatnonzero(np.concatenate([[True], ids == 0, [True]]))
+        lengths = np.diff(gaps) - 1
+        for size, marks, keys, numbers, owners in self.sizes:
+            for run in np.flatnonzero(lengths >= size):
+                start = int(gaps[run])
+                own = ids[start : start + int(lengths[run])]
+                hashed = window_hashes(self.codes[own], size)
+                for i in np.flatnonzero(marks[hashed >> np.uint64(64 - self.BITS)]):
+                    k = int(np.searchsorted(keys, hashed[i]))
+                    while k < len(keys) and keys[k] == hashed[i]:
+                        if np.array_equal(numbers[k], own[i : i + size]):
+                            hits += [start + int(i), start + int(i) + size]
+                            items.update(owners[k])
+                        k += 1
+        return hits, items
+
+
+def _scan(items: list[tuple], n: int, names: list[str], text_col: str, added: list[str]):
+    """A mapInArrow function that sets the number of words and adds one block's hits (word ranges) and items."""
+
+    def run(batches):
+        scanner = BlockScanner(items, n)
         for batch in batches:
             hits_out, items_out, n_out = [], [], []
-            for text, hits, ids in zip(batch.column(text_col), batch.column("_hits"), batch.column("_items"), strict=True):
+            for text, hits, ids in zip(batch.column(text_col), batch.column(added[1]), batch.column(added[2]), strict=True):
                 words = fold_words(text.as_py())
-                hits, ids = list(hits.as_py()), set(ids.as_py())
+                found, owners = scanner.find(words)
                 n_out.append(len(words))
-                hashed = hashes.of(words)
-                for size, keys, windows in sizes:
-                    own = window_hashes(hashed, size)
-                    at = np.searchsorted(keys, own)
-                    at[at == len(keys)] = 0
-                    for i in np.flatnonzero(keys[at] == own):
-                        k = at[i]
-                        window = tuple(words[i : i + size])
-                        while k < len(keys) and keys[k] == own[i]:
-                            if windows[k][0] == window:
-                                hits += [int(i), int(i) + size]
-                                ids.update(windows[k][1])
-                            k += 1
-                hits_out.append(_union(hits))
-                items_out.append(sorted(ids))
+                hits_out.append(_union([*hits.as_py(), *found]))
+                items_out.append(sorted(owners.union(ids.as_py())))
             cols = [batch.column(c) for c in names] + [pa.array(n_out, pa.int64()), pa.array(hits_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *ADDED])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
     return run
 
@@ -111,19 +140,20 @@ def benchmark_blocks(benchmark: DataFrame, *, block_words=2_000_000, id_col="ite
     yield block
 
 
-def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col="text", block_words=2_000_000) -> DataFrame:
+def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col="text", block_words=2_000_000, added=ADDED) -> DataFrame:
     """docs with _n_words, _hits (disjoint ranges of hit words, flattened) and _items (ids of items with windows in the text, as text).
 
     An item of fewer than n words, but not none, is one window. Null and wordless
     texts, on either side, have no hits; repeated items share their hits; items
-    with a null id are left out. An empty benchmark or table gives no hits.
+    with a null id are left out. An empty benchmark or table gives no hits. The
+    columns are named as in added; columns of docs with these names are replaced.
     """
-    docs = docs.drop(*ADDED).withColumns({"_n_words": F.lit(0).cast("bigint"), "_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
-    names = [c for c in docs.columns if c not in ADDED]
+    docs = docs.drop(*added).withColumns({c: v for c, v in zip(added, (F.lit(0).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<string>")), strict=True)})
+    names = [c for c in docs.columns if c not in added]
     kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(ADDED, kinds, strict=True)])
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(added, kinds, strict=True)])
     for block in benchmark_blocks(benchmark.filter("item_id is not null"), block_words=block_words):
-        docs = docs.mapInArrow(_scan(block, n, names, text_col), schema)
+        docs = docs.mapInArrow(_scan(block, n, names, text_col, list(added)), schema)
     return docs
 
 
@@ -133,15 +163,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n=10, mode="document
     mode "document" drops every document with a hit; mode "span" removes the hit
     words, with what stands between them, and leaves one space in their place.
     """
-    found = find_benchmark_hits(docs, benchmark, n=n, text_col=text_col)
+    added = fresh(docs.columns, *ADDED)
+    hits = added[1]
+    found = find_benchmark_hits(docs, benchmark, n=n, text_col=text_col, added=added)
     if mode == "document":
-        return found.filter(F.size("_hits") == 0).select(*docs.columns)
+        return found.filter(F.size(hits) == 0).select(*docs.columns)
 
     @F.pandas_udf("string")
-    def cut(texts, hits):
-        return texts.combine(hits, _cut_spans)
+    def cut(texts, ranges):
+        return texts.combine(ranges, _cut_spans)
 
-    cleaned = F.when(F.size("_hits") == 0, F.col(text_col)).otherwise(cut(text_col, "_hits"))
+    cleaned = F.when(F.size(hits) == 0, F.col(text_col)).otherwise(cut(text_col, hits))
     return found.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
