@@ -16,7 +16,7 @@ the rows of that digest are matched on their text instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, table
@@ -55,17 +55,20 @@ def exact_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", salts=64,
     groups = materialize(groups, "exact-groups")
     rows = keyed.select("_id", "_digest", "_salt")
     alone = groups.filter("_texts = 1").select("_digest", "keep_id", "group_size", F.explode("_salts").alias("_salt"))
-    found = rows.join(alone, ["_digest", "_salt"]).select("_id", "keep_id", "group_size", "_digest")
+    columns = ["_id", "keep_id", "group_size", "_digest", "_salt"]
+    found = rows.join(alone, ["_digest", "_salt"]).select(*columns)
     mixed = groups.filter("_texts > 1").select("_digest")
     if not mixed.isEmpty():
         texts = keyed.join(mixed, "_digest", "left_semi")
         winners = whole.join(mixed, "_digest", "left_semi").select("_digest", "_text", "keep_id", "group_size", F.explode("_salts").alias("_salt"))
-        found = found.unionByName(texts.join(winners, ["_digest", "_text", "_salt"]).select("_id", "keep_id", "group_size", "_digest"))
+        found = found.unionByName(texts.join(winners, ["_digest", "_text", "_salt"]).select(*columns))
+    # rows that repeat the winning id: the first of them stays; they share a salt, so the join's partitioning serves
+    again = F.row_number().over(Window.partitionBy("_digest", "_salt", "_id", "keep_id").orderBy("group_size"))
     return found.select(
         F.col("_id").alias(id_col),
         "keep_id",
         "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("_id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"),
         F.col("_digest").alias("text_digest"),
     )
 

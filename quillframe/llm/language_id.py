@@ -126,16 +126,19 @@ def fit_language_model(docs: DataFrame, *, per_language=1500, id_col="doc_id", t
     return train(rows, **options)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, *, text_col="text") -> DataFrame:
-    """docs with lang_pred string, score double and rejected boolean.
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def predict_language(docs: DataFrame, model: LanguageModel, *, text_col="text", added=ADDED) -> DataFrame:
+    """docs with lang_pred string, score double and rejected boolean, under the names in added.
 
     Null texts and texts without any letter (in Unicode's sense) get `und`, score 0
     and are rejected, as is all where the model has learned no language. Columns
     of docs with the added names are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*added)
     names = docs.columns
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    fields = [T.StructField(c, kind) for c, kind in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
 
     def run(batches):
         for batch in batches:
@@ -149,9 +152,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col="text")
                 best = int(p.argmax())
                 pred.append(model.languages[best]), score.append(float(p[best])), rejected.append(bool(p[best] < model.threshold))
             cols = [batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in names], *added]))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in names], *fields]))
 
 
 def held_out(doc_id="doc_id"):

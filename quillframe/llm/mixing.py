@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import fresh, table
 
 #: exp(-rate) stays above zero in doubles up to here; larger rates are split off as whole copies.
 MAX_RATE = 700.0
@@ -61,24 +61,30 @@ def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source",
     return weighted.select(source_col, "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_factor=1.0, id_col="doc_id", source_col="source") -> DataFrame:
+ADDED = ("copy_no", "n_copies", "shuffle_key")
+
+
+def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_factor=1.0, id_col="doc_id", source_col="source", added=ADDED) -> DataFrame:
     """docs with each row repeated by its count, in globally shuffled order.
 
-    Adds copy_no (from 0), n_copies and shuffle_key. A null source is a source of
-    its own; a null id hashes as empty text. Rows that repeat an id share the
-    draw, so their copies share shuffle keys; the order between such ties is free.
-    An empty table gives an empty result. Columns of docs with the added names
-    are replaced. Rates are held at MAX_RATE.
+    Adds the columns named in added: the copy's number (from 0), the row's number
+    of copies, and the key of the order; columns of docs with these names are
+    replaced. A null source is a source of its own; a null id hashes as empty
+    text. Rows that repeat an id share the draw, so their copies share keys; the
+    order between such ties is free. An empty table gives an empty result. Rates are
+    held at MAX_RATE.
     """
-    docs = docs.drop("copy_no", "n_copies", "shuffle_key")
+    docs = docs.drop(*added)
+    names = docs.columns
+    source, cdf = fresh([*names, *added], "source_of_rate", "cdf")
+    copy_no, n_copies, key = added
     rates = source_rates(docs, targets, source_col=source_col, total_factor=total_factor)
-    rates = rates.filter("rate > 0").select(F.col(source_col).alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rates = rates.filter("rate > 0").select(F.col(source_col).alias(source), poisson_cdf(F.col("rate")).alias(cdf))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.join(rates, docs[source_col].eqNullSafe(F.col("_source"))).withColumn("n_copies", poisson_count(F.col("_cdf"), uniform(seed, ident)))
-    copies = counted.filter("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}.order"), ident, F.col("copy_no").cast("string")).cast("binary")))
-    out = keyed.select(*[docs[c] for c in docs.columns], "copy_no", "n_copies", "shuffle_key")
-    return out.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    counted = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source))).withColumn(n_copies, poisson_count(F.col(cdf), uniform(seed, ident)))
+    copies = counted.filter(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    keyed = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed}.order"), ident, F.col(copy_no).cast("string")).cast("binary")))
+    return keyed.select(*names, *added).repartitionByRange(F.col(key)).sortWithinPartitions(key)
 
 
 def op2_poisson_mix(spark, sf_dir: str) -> DataFrame:

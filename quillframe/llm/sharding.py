@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import fresh, table
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -111,22 +111,23 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int, *, bits=4, s
     """
     docs = docs.drop("hilbert", "shard", "slot")
     names = docs.columns
+    h, sub, n, before, start, total, offset, rank, place = fresh([*names, "hilbert"], "h", "sub", "n", "before", "start", "total", "offset", "rank", "place")
     placed = with_hilbert(docs, dims, bits=bits, out_col="hilbert")
-    placed = placed.withColumn("_h", F.xxhash64(id_col)).withColumn("_sub", F.pmod(F.col("_h"), F.lit(sub_cells)).cast("int"))
-    counts = placed.groupBy("hilbert", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    within = Window.partitionBy("hilbert").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    subs = counts.select("hilbert", "_sub", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before"))
+    placed = placed.withColumn(h, F.xxhash64(id_col)).withColumn(sub, F.pmod(F.col(h), F.lit(sub_cells)).cast("int"))
+    counts = placed.groupBy("hilbert", sub).agg(F.count(F.lit(1)).alias(n))
+    within = Window.partitionBy("hilbert").orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    subs = counts.select("hilbert", sub, F.coalesce(F.sum(n).over(within), F.lit(0)).alias(before))
     ahead = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    cells = placed.groupBy("hilbert").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.select("hilbert", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    offsets = subs.join(F.broadcast(cells), "hilbert").select("hilbert", "_sub", (F.col("_start") + F.col("_before")).alias("_offset"), "_total")
+    cells = placed.groupBy("hilbert").agg(F.count(F.lit(1)).alias(n))
+    cells = cells.select("hilbert", F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(start), F.sum(n).over(Window.partitionBy()).alias(total))
+    offsets = subs.join(F.broadcast(cells), "hilbert").select("hilbert", sub, (F.col(start) + F.col(before)).alias(offset), total)
     simple = [f.name for f in docs.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.TimestampType, T.DateType))]
     ties = [F.xxhash64(*[F.col(c) for c in simple])] if simple else []
-    here = Window.partitionBy("hilbert", "_sub").orderBy("_h", id_col, *ties)
-    ranked = placed.join(offsets, ["hilbert", "_sub"]).withColumn("_rank", F.col("_offset") + F.row_number().over(here) - 1)
-    shard = F.expr(f"(_rank * {n_shards}L) div _total")
-    first = F.expr(f"(_shard * _total + {n_shards - 1}L) div {n_shards}L")
-    return ranked.withColumn("_shard", shard).select(*names, "hilbert", F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"))
+    here = Window.partitionBy("hilbert", sub).orderBy(h, id_col, *ties)
+    ranked = placed.join(offsets, ["hilbert", sub]).withColumn(rank, F.col(offset) + F.row_number().over(here) - 1)
+    shard = F.expr(f"(`{rank}` * {n_shards}L) div `{total}`")
+    first = F.expr(f"(`{place}` * `{total}` + {n_shards - 1}L) div {n_shards}L")
+    return ranked.withColumn(place, shard).select(*names, "hilbert", F.col(place).cast("int").alias("shard"), (F.col(rank) - first).alias("slot"))
 
 
 def op1_hilbert_shards(spark, sf_dir: str, n_shards=24) -> DataFrame:

@@ -174,7 +174,7 @@ def score_documents(docs: DataFrame, *, train=None, vocabulary_path=VOCABULARY,
     frequent bounds the rows of the word table that goes to the executors.
     """
     vocabulary = Vocabulary(vocabulary_path)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("_train"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), (F.lit(True) if train is None else F.coalesce(train, F.lit(True))).alias("_train"))
     words = materialize(count_words(rows), "lm-words")
     n_docs = rows.filter("_train").count()
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
