@@ -203,3 +203,26 @@ def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("_hits") > 0).alias("contaminated"),
     )
+
+
+OP7_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS x
+  FROM (SELECT item_id, w, least(10, len(w)) AS size FROM iw WHERE len(w) > 0)
+), spots AS (
+  SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS x
+  FROM (SELECT doc_id, w, s.size, unnest(range(1, len(w) - s.size + 2)) AS i FROM dw, (SELECT DISTINCT size FROM win) s WHERE len(w) >= s.size)
+), hits AS (
+  SELECT spots.doc_id, spots.i, spots.size, win.item_id FROM spots JOIN win ON spots.x = win.x AND spots.size = win.size
+), n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
+"""

@@ -5,10 +5,10 @@ k = (m + n) / 9 elements at most. The domain of shingle hashes is partitioned
 into parts, as many as fit the size band, and a set's features are its
 nonempty parts, each with the sum of what it holds. An element in which two
 sets differ spoils one part, so two similar sets agree in all but k of the
-parts of either. By the pigeonhole, if each set lists its parts in one order that
-all sets share and keeps the first k + 1 of them, similar sets keep a part in
-common: these are the signatures. The order puts full parts first, since
-parts of more elements agree by chance less often.
+parts of either. By the pigeonhole, if the parts of all sets are put in one order
+and each set keeps the first k + 1 of its own, similar sets keep a part in
+common: these are the signatures. The order puts rare parts first, so what many
+documents share, a passage or a licence, signs only for sets that consist of it.
 
 Bands double in size; a set within 5/4 of the lower edge of its band also
 signs under the band below, where its smaller partners are. Sets of less than
@@ -16,14 +16,16 @@ signs under the band below, where its smaller partners are. Sets of less than
 cannot sign; then the whole table signs again under another seed, and in the
 end with one part per element, so no link is lost.
 
-Signatures travel as packed arrays per bucket of the signature's hash. Sets that share one
+Parts travel as packed arrays, once to the bucket of their hash, where they are
+counted and parts of one set alone fall out, and once, with their counts, to
+the bucket of their set, where the signatures are chosen. Sets that share one
 are candidates; their similarity is computed on whole sets. Equal sets are one
 node from the start, and links are sought until components are known:
 
-1. each set with its best partner among the smallest sets of its signatures;
-2. each component so found with its best neighbour component, twice;
-3. all pairs that still share a signature across components and may be similar by
-   their sizes and by the histogram of their elements, a bound that loses none.
+1. in each of a few rounds, each set with the best two, not yet tried, of the most
+   central sets of other components in its signatures;
+2. then all pairs that still share a signature across components and may be similar
+   by their sizes and by the histogram of their elements, a bound that loses none.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected_components
@@ -42,7 +44,7 @@ SHINGLE = 5
 SINGLE = 64
 #: Mean elements in a part at the upper edge of a band.
 FILL = 2.6
-HIST = 64
+HIST = 128
 
 
 def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -68,46 +70,48 @@ def _parts(band: int) -> int:
     return int(np.ceil(2 ** (band + 1) / FILL))
 
 
-def _part_signatures(found: np.ndarray, band: int, k: int, seed: int) -> np.ndarray | None:
-    """The first k + 1 parts of a set, as hashes; None where it fills no more than k parts."""
+def _parts_of(found: np.ndarray, band: int, seed: int) -> np.ndarray:
+    """All nonempty parts of a set in a band's partition, as hashes of part and content."""
     salt = mix64(np.array([seed * 1000 + band + 1], np.uint64))[0]
     part = mix64(found ^ salt) % np.uint64(_parts(band))
     order = np.argsort(part, kind="stable")
     part = part[order]
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    if len(starts) <= k:
-        return None
-    held = np.diff(np.concatenate([starts, [len(part)]]))
     sums = np.add.reduceat(mix64(found[order] + salt), starts)
-    signature = mix64(sums ^ mix64(part[starts] + salt))
-    return signature[np.lexsort((signature, -held))[: k + 1]]
+    return mix64(sums ^ mix64(part[starts] + salt))
 
 
-def signatures(found: np.ndarray, seed: int) -> np.ndarray | None:
-    """All signatures of a set; None where the parts under this seed don't suffice. seed < 0: one part per element."""
+def schemes(found: np.ndarray, seed: int) -> list[tuple[np.ndarray, int]] | None:
+    """(parts, slack) under each partition that a set signs by; of its parts all but the last `slack` are signatures.
+
+    None where parts under this seed are too few. seed < 0: one part per element.
+    """
     n = len(found)
     if n < 4:  # similar sets of three elements or less are equal
-        return np.empty(0, np.uint64)
+        return []
+    single = lambda: (mix64(found ^ np.uint64(0x51)), (4 * n + 4) // 5 - 1)
+    if seed < 0 or n < SINGLE:
+        return [single()]
+    band = _band(n)
     out = []
-    small, band = SINGLE if seed >= 0 else 2**62, _band(n)
-    if n < small:
-        own = np.sort(mix64(found ^ np.uint64(0x51)))
-        out.append(own[: n - (4 * n + 4) // 5 + 1])
-    else:
-        out.append(_part_signatures(found, band, most_different(n, n * 5 // 4), seed))
-    # partners below the band: of sizes from 4/5 of n to the edge
-    edge = 2**band if n >= small else 0
-    if n >= small and -(-4 * n // 5) < edge:
+
+    def under(band, k):
+        parts = _parts_of(found, band, seed)
+        out.append((parts, len(parts) - k - 1))
+
+    under(band, most_different(n, n * 5 // 4))
+    # partners below the band have 4/5 of n elements to its edge
+    edge = 2**band
+    if -(-4 * n // 5) < edge:
         if edge <= SINGLE:
-            own = np.sort(mix64(found ^ np.uint64(0x51)))
-            out.append(own[: n - (4 * n + 4) // 5 + 1])
+            out.append(single())
         else:
-            out.append(_part_signatures(found, band - 1, most_different(n, edge - 1), seed))
-    return None if any(x is None for x in out) else np.concatenate(out)
+            under(band - 1, most_different(n, edge - 1))
+    return None if any(slack < 0 for _, slack in out) else out
 
 
 def _describe(batches):
-    """Rows with text -> (_id, n_shingles, fp); fp is null for an empty set."""
+    """Rows with text -> (_id, text_key, n_shingles, fp); fp is null for an empty set."""
     hashes = WordHashes()
     for batch in batches:
         n, fp = [], []
@@ -115,24 +119,37 @@ def _describe(batches):
             found = shingles(text.as_py(), hashes)
             n.append(len(found))
             fp.append(fingerprint(found) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["_id", "n_shingles", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["_id", "text_key", "n_shingles", "fp"])
+
 
+_PARTS = "bucket int, parts binary, unit binary, fps binary, codes binary"
 
-def _sign(seed: int, bits: int, flush=1 << 22):
-    """Rows with text -> (bucket, packed): signatures and fingerprints; bucket -1 counts sets that couldn't sign."""
 
-    def packed(sigs, fps):
-        sig, fp = np.concatenate(sigs), np.concatenate(fps)
-        bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
+def _sign(seed: int, bits: int, flush=1 << 22, units=60_000):
+    """Rows with text -> rows of _PARTS: parts of many sets, by bucket of the part.
+
+    unit (uint16) leads from a part to fps and codes of its set; a code is
+    2 * slack + place among the set's schemes. bucket -1: a set couldn't sign.
+    """
+
+    def packed(parts, fps, codes):
+        part = np.concatenate(parts)
+        unit = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
+        bucket = (part >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        both = np.stack([sig[order], fp[order]], axis=1)
+        part, unit = part[order], unit[order]
         values, starts = np.unique(bucket[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(both, starts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+        table_fp, table_code = np.array(fps, np.int64), np.array(codes, np.int32)
+        cols = [[], [], [], []]
+        for p, u in zip(np.split(part, starts[1:]), np.split(unit, starts[1:]), strict=True):
+            own, short = np.unique(u, return_inverse=True)
+            for col, x in zip(cols, (p, short.astype(np.uint16), table_fp[own], table_code[own]), strict=True):
+                col.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "parts", "unit", "fps", "codes"])
 
     def run(batches):
         hashes, seen = WordHashes(), set()
-        sigs, fps, size = [], [], 0
+        parts, fps, codes, size = [], [], [], 0
         for batch in batches:
             for text in batch.column("text"):
                 found = shingles(text.as_py(), hashes)
@@ -142,68 +159,108 @@ def _sign(seed: int, bits: int, flush=1 << 22):
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(fp)
-                own = signatures(found, seed)
+                own = schemes(found, seed)
                 if own is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([b""], pa.binary())] * 4], names=["bucket", "parts", "unit", "fps", "codes"])
                     continue
-                sigs.append(own)
-                fps.append(np.full(len(own), fp, np.int64).view(np.uint64))
-                size += len(own)
-                if size >= flush:
-                    yield packed(sigs, fps)
-                    sigs, fps, size = [], [], 0
+                for place, (x, slack) in enumerate(own):
+                    parts.append(x), fps.append(fp), codes.append(2 * slack + place)
+                    size += len(x)
+                if size >= flush or len(parts) >= units:
+                    yield packed(parts, fps, codes)
+                    parts, fps, codes, size = [], [], [], 0
         if size:
-            yield packed(sigs, fps)
+            yield packed(parts, fps, codes)
 
     return run
 
 
-_GROUPS = "sig long, fp long, anchor long"
+_SHARED = "bucket int, packed binary"
+_ROW = np.dtype([("fp", np.int64), ("sig", np.int64), ("code", np.int32), ("sets", np.int32)])
 
 
-def _group(batches):
-    """Packed signatures ordered by bucket -> (sig, fp, anchor) for signatures of two sets or more; anchor is the smallest fp."""
+def _per_bucket(solve, columns):
+    """A mapInArrow function for rows ordered by bucket: solve gets the columns' values of one bucket at a time; bucket -1 gets its own call."""
 
-    def solve(blobs):
-        both = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-        sig, fp = both[:, 0], both[:, 1].copy().view(np.int64)
-        order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])])
-        sig, fp = sig[new], fp[new]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
-        anchor = np.repeat(fp[starts], sizes)
-        keep = np.repeat(sizes > 1, sizes)
-        cols = [pa.array(sig[keep].view(np.int64)), pa.array(fp[keep]), pa.array(anchor[keep])]
-        return pa.RecordBatch.from_arrays(cols, names=["sig", "fp", "anchor"])
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for bucket, *row in zip(batch.column("bucket").to_pylist(), *[batch.column(c).to_pylist() for c in columns], strict=True):
+                if held and bucket != at:
+                    yield solve(at, held)
+                    held = []
+                at = bucket
+                held.append(row)
+        if held:
+            yield solve(at, held)
+
+    return run
 
-    blobs, at, failed = [], None, False
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            if bucket < 0:
-                failed = True
-                continue
-            if blobs and bucket != at:
-                yield solve(blobs)
-                blobs = []
-            at = bucket
-            blobs.append(blob)
-    if blobs:
-        yield solve(blobs)
-    if failed:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["sig", "fp", "anchor"])
+
+def _count_parts(bits: int):
+    """_PARTS of a bucket -> _SHARED: parts of two sets or more with their counts, by bucket of the set."""
+
+    def solve(bucket, rows):
+        if bucket < 0:
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "packed"])
+        part = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        fp = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16)] for r in rows])
+        code = np.concatenate([np.frombuffer(r[3], np.int32)[np.frombuffer(r[1], np.uint16)] for r in rows])
+        order = np.lexsort((fp, part))
+        part, fp, code = part[order], fp[order], code[order]
+        new = np.concatenate([[True], (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])])
+        part, fp, code = part[new], fp[new], code[new]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(part)]]))
+        sets = np.repeat(sizes, sizes)
+        keep = sets > 1
+        out = np.empty(int(keep.sum()), _ROW)
+        out["fp"], out["sig"], out["code"], out["sets"] = fp[keep], part[keep], code[keep], sets[keep]
+        to = (mix64(fp[keep].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        values, starts = np.unique(to[order], return_index=True)
+        blobs = [x.tobytes() for x in np.split(out[order], starts[1:])] if len(values) else []
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+
+    return _per_bucket(solve, ["parts", "unit", "fps", "codes"])
+
+
+_GROUPS = "sig long, fp long, central long"
+
+
+def _choose_signatures():
+    """_SHARED of a bucket of sets -> (sig, fp, central): each set's signatures that other sets have as parts.
+
+    central adds up how many sets share the set's parts.
+    """
+
+    def solve(bucket, rows):
+        if bucket < 0:
+            return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([None], pa.int64())] * 2], names=["sig", "fp", "central"])
+        x = np.concatenate([np.frombuffer(r[0], _ROW) for r in rows])
+        x = x[np.lexsort((x["sig"], x["sets"], x["code"], x["fp"]))]
+        starts = np.flatnonzero(np.concatenate([[True], (x["fp"][1:] != x["fp"][:-1]) | (x["code"][1:] != x["code"][:-1])]))
+        sizes = np.diff(np.concatenate([starts, [len(x)]]))
+        rank = np.arange(len(x)) - np.repeat(starts, sizes)
+        keep = rank < np.repeat(sizes, sizes) - (x["code"] >> 1)
+        central = np.repeat(np.add.reduceat(x["sets"].astype(np.int64), starts), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["sig"][keep])), pa.array(np.ascontiguousarray(x["fp"][keep])), pa.array(central[keep])], names=["sig", "fp", "central"])
+
+    return _per_bucket(solve, ["packed"])
 
 
 def shared_signatures(rows: DataFrame, *, bucket_bytes=16 << 20, seeds=4) -> DataFrame:
-    """(sig, fp, anchor) of all signatures that different sets share."""
+    """(sig, fp, central) of all signatures that different sets share."""
     size = input_bytes(rows.sparkSession, rows)
     bits = max(3, min(20, int(np.ceil(np.log2(max(1, 2 * size / bucket_bytes))))))
+    spread = lambda df: df.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     for seed in [*range(seeds), -1]:
-        packed = rows.select("text").mapInArrow(_sign(seed, bits), "bucket int, packed binary")
-        groups = materialize(packed.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_group, _GROUPS), "signatures")
-        if groups.filter("fp is null").isEmpty():
-            return groups
+        parts = rows.select("text").mapInArrow(_sign(seed, bits), _PARTS)
+        counted = spread(parts).mapInArrow(_count_parts(bits), _SHARED)
+        signed = materialize(spread(counted).mapInArrow(_choose_signatures(), _GROUPS), "signatures")
+        if signed.filter("fp is null").isEmpty():
+            alone = signed.groupBy("sig").count().filter("count > 1").select("sig")
+            return materialize(signed.join(alone, "sig"), "shared-signatures")
     raise AssertionError("every set signs with one part per element")
 
 
@@ -216,7 +273,7 @@ def _load_sets(batches):
             found = shingles(text.as_py(), hashes)
             if fingerprint(found) == wanted:
                 fps.append(wanted), ns.append(len(found)), blobs.append(found.tobytes())
-                hists.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=HIST).astype(np.int32).tobytes())
+                hists.append(np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=HIST), 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(hists, pa.binary()), pa.array(blobs, pa.binary())], names=["fp", "n", "hist", "elements"])
 
 
@@ -251,7 +308,7 @@ def _possible(rows=512):
         for batch in batches:
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 right = right or left
-                one, two = [{c: np.array([m[c] for m in side]) for c in ("fp", "component", "n")} | {"h": np.stack([np.frombuffer(m["hist"], np.int32) for m in side])} for side in (left, right)]
+                one, two = [{c: np.array([m[c] for m in side]) for c in ("fp", "component", "n")} | {"h": np.stack([np.frombuffer(m["hist"], np.uint8).astype(np.int16) for m in side])} for side in (left, right)]
                 for i in range(0, len(one["n"]), rows):
                     cut = slice(i, i + rows)
                     ok = one["component"][cut, None] != two["component"][None]
@@ -290,22 +347,28 @@ def _remaining_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bloc
     return own.unionByName(apart).mapInArrow(_possible(), "a long, b long").distinct()
 
 
-def _best_pairs(groups: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-    """For each component, or set before there are any, one untested pair to the smallest component of a shared signature."""
-    if labels is None:
-        pairs = groups.filter("fp <> anchor").groupBy(F.col("anchor").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    named = groups.select("sig", "fp").join(labels, "fp").groupBy("sig", "component").agg(F.min("fp").alias("fp"))
-    least = named.groupBy("sig").agg(F.min(F.struct("component", "fp")).alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    pairs = named.join(least, "sig").filter("component <> least.component")
-    pairs = pairs.select(F.least("least.fp", "fp").alias("a"), F.greatest("least.fp", "fp").alias("b"), "component").groupBy("a", "b", "component").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    best = pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+def _best_pairs(groups: DataFrame, labels: DataFrame | None, tested: DataFrame | None, each: int = 2) -> DataFrame:
+    """Untested pairs (a, b): each set with up to `each` central sets of other components that share a signature.
 
-
-def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", rounds=2) -> DataFrame:
-    """A row per row of docs: id_col, n_shingles, component_id.
+    In a signature only its most central set and the most central one of
+    another component are partners, so pairs grow with signatures, not with their squares.
+    """
+    named = groups.join(labels, "fp") if labels is not None else groups.withColumn("component", F.col("fp"))
+    top = F.max(F.struct("central", "fp", "component"))
+    first = named.groupBy("sig").agg(top.alias("one"))
+    with_first = named.join(first, "sig")
+    second = with_first.filter("component <> one.component").groupBy("sig").agg(top.alias("two"))
+    chosen = with_first.join(second, "sig").withColumn("to", F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two")))
+    pairs = chosen.groupBy("fp", F.col("to.fp").alias("other")).agg(F.max("to.central").alias("central"), F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"), "fp", "central", "shared")
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("central"), F.desc("shared"), "a", "b")))
+    return ranked.filter(F.col("rank") <= each).select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", rounds=4) -> DataFrame:
+    """A row per row of docs: id_col, n_shingles, component_id, class_key, text_key.
 
     Documents link when the Jaccard similarity of their sets of five-word
     shingles is 4/5 or more, exactly; component_id is the smallest id reachable
@@ -313,11 +376,12 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
     rows that repeat their id. A text of fewer than five words is one shingle. Null
     ids take part and count as larger than all others. An empty table gives
     an empty result; other columns are ignored. Words and sets are compared by
-    64-bit hashes.
+    64-bit hashes. class_key tells components apart where ids cannot, null for texts
+    without shingles; text_key is Spark's xxhash64 of the text.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    described = materialize(rows.mapInArrow(_describe, f"_id {id_type}, n_shingles long, fp long"), "shingle-sets")
+    described = materialize(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, f"_id {id_type}, text_key long, n_shingles long, fp long"), "shingle-sets")
     first = described.filter("fp is not null").groupBy("fp").agg(F.min("_id").alias("_id"))
     groups = shared_signatures(rows)
     if groups.isEmpty():
@@ -326,36 +390,52 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
         wanted = first.join(groups.select("fp").distinct(), "fp").withColumnRenamed("_id", "w_id")
         loaded = rows.join(wanted, rows["_id"].eqNullSafe(F.col("w_id"))).select("text", "fp").mapInArrow(_load_sets, "fp long, n long, hist binary, elements binary")
         sets = materialize(loaded.dropDuplicates(["fp"]), "elements")
-        tested = materialize(_best_pairs(groups, None, None).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-        edges = materialize(verified(tested, sets), "links")
         everyone = sets.select("fp")
 
         def named(edges):
             found = connected_components(edges).withColumnRenamed("node", "fp")
             return everyone.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
-        labels = named(edges)
+        labels, tested, edges = everyone.withColumn("component", F.col("fp")), None, None
         for _ in range(rounds):
             more = materialize(_best_pairs(groups, labels, tested), "pairs")
-            tested = tested.union(more)
+            tested = more if tested is None else tested.union(more)
             new = materialize(verified(more, sets), "links")
             if new.isEmpty():
                 break
-            edges = edges.union(new)
-            labels = named(edges)
+            edges = new if edges is None else edges.union(new)
+            labels = materialize(named(edges), "labels")
         rest = _remaining_pairs(groups, labels, sets).join(tested, ["a", "b"], "left_anti")
         new = materialize(verified(rest, sets), "links")
         if not new.isEmpty():
-            labels = named(edges.union(new))
+            labels = named(new if edges is None else edges.union(new))
     if labels is None:
-        nodes = first.select("fp", F.col("_id").alias("component_id"))
+        nodes = first.select("fp", F.col("fp").alias("class_key"), F.col("_id").alias("component_id"))
     else:
         classed = first.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "_id")
         smallest = classed.groupBy("component").agg(F.min("_id").alias("component_id"))
-        nodes = classed.join(smallest, "component").select("fp", "component_id")
+        nodes = classed.join(smallest, "component").select("fp", F.col("component").alias("class_key"), "component_id")
     found = described.join(nodes, "fp", "left")
-    return found.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    return found.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), "class_key", "text_key")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT c.a, c.b FROM c JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b WHERE 100 * c.k >= 80 * (na.n + nb.n - c.k)
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -19,4 +19,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_poisson_mix": mixing.OP2_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {
+        "op2_poisson_mix": mixing.OP2_SQL,
+        "op3_ngram_join": ngram_join.OP3_SQL,
+        "op7_benchmark_decontamination": decontam.OP7_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+    }
