@@ -85,6 +85,18 @@ def input_bytes(spark: SparkSession, df: DataFrame) -> int:
     return total
 
 
+#: Rows of narrow keys up to which a side of a join is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast where a count shows that it has at most limit rows; else it joins by shuffle.
+
+    For sides of a few numbers a row; df is counted, so it should be read from a table.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def fold(column, doc_id="doc_id"):
     """crc32 of doc_id written as text, the number that splits training from held-out rows."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) if column is None else F.crc32(column)

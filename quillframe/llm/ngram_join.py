@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import WordHashes, input_bytes, materialize, mix64, table, window_hashes
+from ._shared import WordHashes, broadcast_if_small, input_bytes, materialize, mix64, table, window_hashes
 
 SHINGLE = 5
 SINGLE = 64
@@ -387,8 +387,8 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
     if groups.isEmpty():
         labels = None
     else:
-        wanted = first.join(groups.select("fp").distinct(), "fp").withColumnRenamed("_id", "w_id")
-        loaded = rows.join(wanted, rows["_id"].eqNullSafe(F.col("w_id"))).select("text", "fp").mapInArrow(_load_sets, "fp long, n long, hist binary, elements binary")
+        wanted = materialize(first.join(groups.select("fp").distinct(), "fp").withColumnRenamed("_id", "w_id"), "wanted")
+        loaded = rows.join(broadcast_if_small(wanted), rows["_id"].eqNullSafe(F.col("w_id"))).select("text", "fp").mapInArrow(_load_sets, "fp long, n long, hist binary, elements binary")
         sets = materialize(loaded.dropDuplicates(["fp"]), "elements")
         everyone = sets.select("fp")
 
