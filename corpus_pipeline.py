@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import decontam, language_id, mixing, ngram_join, sharding
-from quillframe.llm._shared import materialize, table
+from quillframe.llm._shared import broadcast_if_small, fresh, materialize, table
 
 N_SHARDS = 24
 
@@ -18,16 +18,24 @@ N_SHARDS = 24
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier accepts; it learns from the labelled ones among them."""
     model = language_id.fitted_on(docs)
-    return language_id.predict_language(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    added = fresh(docs.columns, *language_id.ADDED)
+    return language_id.predict_language(docs, model, added=added).filter(~F.col(added[2])).select(*docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that five-word shingles link, the document with the smallest id; one row where an id repeats."""
-    groups = ngram_join.similar_documents(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return found if unique else found.dropDuplicates(["doc_id"])
+    """Of each group that five-word shingles link, the document with the smallest id; documents without words stay."""
+    groups = materialize(ngram_join.similar_documents(docs), "groups")
+    linked = groups.filter("class_key is not null")
+    first = linked.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("k"))
+    paired = linked.join(first, "class_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("text_key").eqNullSafe(F.col("k.text_key"))
+    gone_id, gone_key = fresh(docs.columns, "gone_id", "gone_key")
+    gone = materialize(paired.filter(~stays).select("doc_id", "text_key").toDF(gone_id, gone_key), "gone")
+    key = F.xxhash64("text")
+    found = docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key)), "left_anti")
+    if linked.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        return found
+    return found.dropDuplicates(["doc_id", "text"])  # rows that repeat both
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +45,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh alike, in globally shuffled order."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    return mixing.poisson_mix(docs, added=fresh(docs.columns, *mixing.ADDED)).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
