@@ -55,14 +55,15 @@ class Vocabulary:
         ranks[np.isnan(ranks)] = np.nanmax(ranks) if len(ranks) else 0
         weight = 1 / (ranks + offset)
         self.first = np.log(weight / weight.sum())
-        self.longest = max(map(len, self.pieces), default=1)
+        #: Every beginning of a piece -> the piece's id, -1 for what is no piece itself.
+        self.beginnings = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))} | self.pieces
 
 
 class Lattice:
     """Forward and backward recursions over a word's segmentations, with given log probabilities."""
 
     def __init__(self, vocabulary: Vocabulary, logp: np.ndarray):
-        self.pieces, self.by_byte, self.longest = vocabulary.pieces, vocabulary.by_byte, vocabulary.longest
+        self.beginnings, self.by_byte = vocabulary.beginnings, vocabulary.by_byte
         self.logp = logp.tolist()
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple]]]:
@@ -71,16 +72,21 @@ class Lattice:
         A character that is no piece is spelled in bytes.
         """
         s = "▁" + word
-        n, pieces, logp, longest = len(s), self.pieces, self.logp, self.longest
+        n, beginnings, logp = len(s), self.beginnings.get, self.logp
         ends: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(i + longest, n) + 1):
-                k = pieces.get(s[i:j])
-                if k is not None:
+            j = i + 1
+            k = beginnings(s[i:j], -1)
+            if k < 0:
+                ids = tuple(self.by_byte[b] for b in s[i:j].encode("utf-8", "surrogatepass"))
+                ends[j].append((i, sum([logp[b] for b in ids]), ids))
+            while k is not None:
+                if k >= 0:
                     ends[j].append((i, logp[k], (k,)))
-                elif j == i + 1:
-                    ids = tuple(self.by_byte[b] for b in s[i:j].encode("utf-8", "surrogatepass"))
-                    ends[j].append((i, sum(logp[b] for b in ids), ids))
+                j += 1
+                if j > n:
+                    break
+                k = beginnings(s[i:j])
         return ends
 
     def forward(self, ends) -> list[float]:
