@@ -97,9 +97,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def fold(column, doc_id="doc_id"):
+def fold(doc_id: str = "doc_id"):
     """crc32 of doc_id written as text, the number that splits training from held-out rows."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) if column is None else F.crc32(column)
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

@@ -158,7 +158,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col="text",
 
 
 def held_out(doc_id="doc_id"):
-    return fold(None, doc_id) % 3 == 1
+    return fold(doc_id) % 3 == 1
 
 
 def fitted_on(docs: DataFrame) -> LanguageModel:

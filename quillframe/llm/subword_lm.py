@@ -248,4 +248,4 @@ def score_documents(docs: DataFrame, *, train=None, vocabulary_path=VOCABULARY,
 
 def op4_subword_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, train=fold(None) % 5 != 1)
+    return score_documents(docs, train=fold() % 5 != 1)

@@ -186,7 +186,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col="text", cu
 
 
 def held_out(doc_id="doc_id"):
-    return fold(None, doc_id) % 4 == 2
+    return fold(doc_id) % 4 == 2
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
