@@ -4,6 +4,7 @@ A source with n rows and target share w gets the repetition rate
 lambda = w * total / n. Each row inverts the Poisson distribution of that rate
 at a uniform number hashed from the seed and its id, is exploded by the count,
 and the copies are sorted globally by a hash of seed, id and copy number.
+A rate too large to invert is drawn as a sum of independent parts.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ._shared import fresh, table
 
-#: exp(-rate) stays above zero in doubles up to here; larger rates are split off as whole copies.
+#: exp(-rate) stays above zero in doubles up to here; larger rates are drawn as the sum of equal parts below it.
 MAX_RATE = 700.0
+#: Copies that one step of the explosion makes at most, so that no array grows with the rate.
+BLOCK = 4096
 
 
-def uniform(seed: int, *parts: Column) -> Column:
+def uniform(seed: int | str, *parts: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of an MD5."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -39,9 +42,20 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
 
 
+def poisson_counts(cdf: Column, us: Column) -> Column:
+    """For each u of an array, the smallest k with P(X <= k) > u. The transform makes u a variable, computed once."""
+    return F.transform(us, lambda x: F.size(F.filter(cdf, lambda c: c <= x)))
+
+
 def poisson_count(cdf: Column, u: Column) -> Column:
-    """The smallest k with P(X <= k) > u. The transform makes u a variable, computed once a row."""
-    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(cdf, lambda c: c <= x))), F.lit(0))
+    return F.get(poisson_counts(cdf, F.array(u)), F.lit(0))
+
+
+def part_uniforms(seed: int, ident: Column, parts: Column) -> Column:
+    """An independent number in (0, 1) for each part; the first is that of a row with one part."""
+    first = F.array(uniform(seed, ident))
+    more = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: uniform(f"{seed}.part", i.cast("string"), ident))
+    return F.when(parts > 1, F.concat(first, more)).otherwise(first)
 
 
 def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source", total_factor=1.0) -> DataFrame:
@@ -58,7 +72,7 @@ def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source",
         weighted = counts.join(given, counts[source_col].eqNullSafe(given["_s"]), "left").fillna(0.0, ["_w"]).drop("_s")
     all_w, all_n = weighted.agg(F.sum("_w"), F.sum("n_rows")).first()
     rate = F.col("_w") / F.lit(all_w) * F.lit(all_n) * F.lit(total_factor) / F.col("n_rows") if all_w else F.lit(0.0)
-    return weighted.select(source_col, "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return weighted.select(source_col, "n_rows", rate.alias("rate"))
 
 
 ADDED = ("copy_no", "n_copies", "shuffle_key")
@@ -71,18 +85,24 @@ def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_
     of copies, and the key of the order; columns of docs with these names are
     replaced. A null source is a source of its own; a null id hashes as empty
     text. Rows that repeat an id share the draw, so their copies share keys; the
-    order between such ties is free. An empty table gives an empty result. Rates are
-    held at MAX_RATE.
+    order between such ties is free. An empty table gives an empty result. A rate
+    above MAX_RATE is the sum of ceil(rate / MAX_RATE) Poisson draws of equal rates,
+    which has that rate's distribution. A row has fewer than 2**31 copies, else the
+    cast of its count fails.
     """
     docs = docs.drop(*added)
     names = docs.columns
-    source, cdf = fresh([*names, *added], "source_of_rate", "cdf")
+    source, cdf, parts, start = fresh([*names, *added], "source_of_rate", "cdf", "parts", "start")
     copy_no, n_copies, key = added
     rates = source_rates(docs, targets, source_col=source_col, total_factor=total_factor)
-    rates = rates.filter("rate > 0").select(F.col(source_col).alias(source), poisson_cdf(F.col("rate")).alias(cdf))
+    n_parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    rates = rates.filter("rate > 0").select(F.col(source_col).alias(source), n_parts.alias(parts), poisson_cdf(F.col("rate") / n_parts).alias(cdf))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source))).withColumn(n_copies, poisson_count(F.col(cdf), uniform(seed, ident)))
-    copies = counted.filter(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    counted = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source)))
+    drawn = F.aggregate(poisson_counts(F.col(cdf), part_uniforms(seed, ident, F.col(parts))), F.lit(0).cast("long"), lambda n, k: n + k)
+    counted = counted.withColumn(n_copies, drawn.cast("int")).drop(cdf, parts)
+    blocks = counted.filter(F.col(n_copies) > 0).withColumn(start, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1, F.lit(BLOCK))))
+    copies = blocks.withColumn(copy_no, F.explode(F.sequence(F.col(start), F.least(F.col(start) + (BLOCK - 1), F.col(n_copies) - 1))))
     keyed = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed}.order"), ident, F.col(copy_no).cast("string")).cast("binary")))
     return keyed.select(*names, *added).repartitionByRange(F.col(key)).sortWithinPartitions(key)
 

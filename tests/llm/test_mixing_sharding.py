@@ -41,6 +41,24 @@ def test_mix(spark):
     assert kept.columns == [*df.columns, "c1", "c2", "c3"] and kept.filter("copy_no <> 'c'").isEmpty()
 
 
+def test_mix_rates_above_one_draw(spark):
+    df = spark.createDataFrame([(i, "rare" if i < 3 else "one" if i == 3 else "many", 0, "x", "c") for i in range(30000)], SCHEMA)
+    rates = {r["source"]: r["rate"] for r in source_rates(df, None).collect()}
+    assert abs(rates["one"] - 10000) < 1e-6 and abs(rates["rare"] - 10000 / 3) < 1e-6
+    out = poisson_mix(df)
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert all(abs(n[s] - 10000) < 5 * math.sqrt(10000) for s in ("one", "rare", "many"))  # five deviations
+    per = out.filter("source <> 'many'").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.min("copy_no").alias("lo"), F.max("copy_no").alias("hi"), F.max("n_copies").alias("k"), F.min("n_copies").alias("j")).collect()
+    assert len(per) == 4 and all((r["n"], r["lo"], r["hi"], r["j"]) == (r["k"], 0, r["k"] - 1, r["k"]) and r["d"] == r["n"] for r in per)
+    assert len({r["n"] for r in per}) == 4 and poisson_mix(df.repartition(5)).count() == sum(n.values())
+
+
+def test_split_draws_keep_the_variance(spark):
+    df = spark.createDataFrame([(i, "a", 0, "x", "c") for i in range(400)], SCHEMA)
+    counts = [r["n_copies"] for r in poisson_mix(df, total_factor=1500.0).filter("copy_no = 0").collect()]
+    assert len(counts) == 400 and abs(np.mean(counts) - 1500) < 10 and 1000 < np.var(counts) < 2100
+
+
 def test_curve_is_a_path():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         points = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
