@@ -177,8 +177,10 @@ SELECT r_regionkey, label, CASE WHEN contains(k, 'in words') THEN '' WHEN k = 'p
 
 
 def email_clean(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
-    return docs.select("doc_id", clean.clean_email(F.regexp_extract("text", r"[a-z0-9.]+@[a-z.]+", 0)).alias("email")).filter("email <> ''")
+    """The addresses of every document. The cleaner joins what spaces part, as in a field, so a text reaches it as its words with an @."""
+    words = F.filter(F.split("text", r"(?U)[\s\x1C-\x1F|,;/]+"), lambda w: F.contains(w, F.lit("@")))
+    raw = F.when(F.contains("text", F.lit("@")), F.array_join(words, " | "))
+    return _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", clean.clean_email(F.col("raw")).alias("email"))
 
 
 _EMAIL = """WITH e AS (SELECT doc_id, regexp_extract(text, '[a-z0-9.]+@[a-z.]+') AS raw FROM documents WHERE contains(text, '@')),
@@ -187,8 +189,9 @@ SELECT doc_id, lower(email) AS email FROM c WHERE email <> '' AND NOT contains(l
 
 
 def tel_clean(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\+1 \(\d{3}\) \d{3}-\d{4}"))
-    return docs.select("doc_id", clean.clean_tel(F.regexp_extract("text", r"\+1 \(\d{3}\) \d{3}-\d{4}", 0)).alias("tel"))
+    """The numbers of every document. The cleaner takes the digits of a whole field, so a text reaches it as its numbers."""
+    raw = F.array_join(F.regexp_extract_all("text", F.lit(r"\+1 \(\d{3}\) \d{3}-\d{4}"), F.lit(0)), " | ")
+    return _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", clean.clean_tel(F.col("raw")).alias("tel"))
 
 
 _TEL = r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_extract(text, '\+1 \(\d{3}\) \d{3}-\d{4}'), '[^0-9]', '', 'g') AS n FROM documents WHERE regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}'))

@@ -57,3 +57,14 @@ def test_python_space(spark):
 def test_best_contact(spark):
     df = spark.createDataFrame([("tel", ["+(1)2", "+(123)456-7890"]), ("site", ["http://a.xx/", "https://www.a.com/"]), ("email", ["b@c.com", "a@c.com", "aa@c.com"]), ("x", ["b", "a"])], "k string, v array<string>")
     assert [r[0] for r in df.select(clean.best_contact(F.col("k"), F.col("v"))).collect()] == ["+(123)456-7890", "https://www.a.com/", "aa@c.com", "a"]
+
+
+def test_contacts_of_whole_texts(spark, tmp_path):
+    from quillframe.plans import catalogue
+
+    texts = ["and the und.34@mail7.example.com, X\u00e9@y.org.\nno z@host", "+1 (743) 555-3824 or +1 (523) 555-1055", "neither", None, "a word\u00a0b@c.com B@c.com melvin@c.com"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    emails = {r["doc_id"]: r["email"] for r in catalogue.email_clean(spark, str(tmp_path)).collect()}
+    assert emails == {0: "und.34@mail7.example.com | xe@y.org", 1: "", 2: "", 3: "", 4: "b@c.com"}
+    tels = {r["doc_id"]: r["tel"] for r in catalogue.tel_clean(spark, str(tmp_path)).collect()}
+    assert tels == {0: "", 1: "+(174)355-5382 | +(152)355-5105", 2: "", 3: "", 4: ""}
