@@ -108,8 +108,7 @@ def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_
 
 
 def op2_poisson_mix(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return poisson_mix(docs)
+    return poisson_mix(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = """

@@ -4,7 +4,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillframe.llm.mixing import poisson_cdf, poisson_count, poisson_mix, source_rates
+from quillframe.llm.mixing import op2_poisson_mix, poisson_cdf, poisson_count, poisson_mix, source_rates
 from quillframe.llm.sharding import hilbert_index, hilbert_shards
 
 SCHEMA = "doc_id long, source string, n long, h string, copy_no string"
@@ -59,6 +59,14 @@ def test_split_draws_keep_the_variance(spark):
     assert len(counts) == 400 and abs(np.mean(counts) - 1500) < 10 and 1000 < np.var(counts) < 2100
 
 
+def test_query_mixes_whole_documents(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op2_poisson_mix(spark, str(tmp_path))
+    assert out.columns == [*df.columns, "copy_no", "n_copies", "shuffle_key"]
+    assert not out.isEmpty() and out.filter("text is distinct from concat('text ', doc_id)").isEmpty()
+
+
 def test_curve_is_a_path():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         points = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
