@@ -58,8 +58,8 @@ def part_uniforms(seed: int, ident: Column, parts: Column) -> Column:
     return F.when(parts > 1, F.concat(first, more)).otherwise(first)
 
 
-def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source", total_factor=1.0) -> DataFrame:
-    """A row per source: source_col, n_rows, rate. Counted over all rows of docs.
+def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source", total_factor=1.0) -> tuple[DataFrame, int]:
+    """A row per source (source_col, n_rows, rate), counted over all rows of docs, and the number of sources.
 
     targets maps sources to weights (missing ones count 0, None: all sources equally);
     weights are divided by the sum of those whose source occurs.
@@ -70,9 +70,23 @@ def source_rates(docs: DataFrame, targets: dict | None, *, source_col="source",
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], f"_s {docs.schema[source_col].dataType.simpleString()}, _w double")
         weighted = counts.join(given, counts[source_col].eqNullSafe(given["_s"]), "left").fillna(0.0, ["_w"]).drop("_s")
-    all_w, all_n = weighted.agg(F.sum("_w"), F.sum("n_rows")).first()
+    all_w, all_n, sources = weighted.agg(F.sum("_w"), F.sum("n_rows"), F.count(F.lit(1))).first()
     rate = F.col("_w") / F.lit(all_w) * F.lit(all_n) * F.lit(total_factor) / F.col("n_rows") if all_w else F.lit(0.0)
-    return weighted.select(source_col, "n_rows", rate.alias("rate"))
+    return weighted.select(source_col, "n_rows", rate.alias("rate")), sources
+
+
+#: Sources up to which the table of rates goes to the executors: a source's cumulative sums are 8.5 kB at most.
+BROADCAST_SOURCES = 5_000
+#: Parts into which each source's rows are dealt for the join beyond that.
+SALTS = 64
+
+
+def with_rates(docs: DataFrame, rates: DataFrame, sources: int, on: Column, salt: str, ident: Column) -> DataFrame:
+    """docs with the columns of rates, without a shuffle of docs where there are few sources; else dealt by source and salt, so no source is one task."""
+    if sources <= BROADCAST_SOURCES:
+        return docs.join(F.broadcast(rates), on)
+    dealt = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.join(dealt, on & (F.pmod(F.xxhash64(ident), F.lit(SALTS)) == F.col(salt))).drop(salt)
 
 
 ADDED = ("copy_no", "n_copies", "shuffle_key")
@@ -92,13 +106,13 @@ def poisson_mix(docs: DataFrame, targets: dict | None = None, *, seed=17, total_
     """
     docs = docs.drop(*added)
     names = docs.columns
-    source, cdf, parts, start = fresh([*names, *added], "source_of_rate", "cdf", "parts", "start")
+    source, cdf, parts, start, salt = fresh([*names, *added], "source_of_rate", "cdf", "parts", "start", "salt")
     copy_no, n_copies, key = added
-    rates = source_rates(docs, targets, source_col=source_col, total_factor=total_factor)
+    rates, sources = source_rates(docs, targets, source_col=source_col, total_factor=total_factor)
     n_parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     rates = rates.filter("rate > 0").select(F.col(source_col).alias(source), n_parts.alias(parts), poisson_cdf(F.col("rate") / n_parts).alias(cdf))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source)))
+    counted = with_rates(docs, rates, sources, F.col(source_col).eqNullSafe(F.col(source)), salt, ident)
     drawn = F.aggregate(poisson_counts(F.col(cdf), part_uniforms(seed, ident, F.col(parts))), F.lit(0).cast("long"), lambda n, k: n + k)
     counted = counted.withColumn(n_copies, drawn.cast("int")).drop(cdf, parts)
     blocks = counted.filter(F.col(n_copies) > 0).withColumn(start, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1, F.lit(BLOCK))))
@@ -115,22 +129,23 @@ OP2_SQL = """
 WITH RECURSIVE c AS (
   SELECT source, count(*) AS n FROM documents GROUP BY source
 ), r AS (
-  SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM c)) * (SELECT count(*) FROM documents) * 1.0::DOUBLE / n AS rate FROM c
-), u AS (
-  SELECT d.doc_id, d.source, d.lang, d.n_chars, least(r.rate, 700.0) AS rate,
-    (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM c)) * (SELECT count(*) FROM documents) * 1.0::DOUBLE / n AS whole FROM c
+), p AS (
+  SELECT source, greatest(ceil(whole / 700.0), 1)::INTEGER AS parts, whole / greatest(ceil(whole / 700.0), 1)::INTEGER AS rate FROM r
 ), cdf AS (
-  SELECT source, least(rate, 700.0) AS rate, 0 AS k, exp(-least(rate, 700.0)) AS p, exp(-least(rate, 700.0)) AS cdf FROM r
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM p
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+), i AS (
+  SELECT d.doc_id, d.source, unnest(range(p.parts)) AS i FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), u AS (
+  SELECT doc_id, source, (('0x' || substr(md5(CASE WHEN i = 0 THEN '17:' ELSE '17.part:' || i::VARCHAR || ':' END || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM i
 ), counted AS (
-  SELECT u.doc_id, any_value(u.source) AS source, any_value(u.lang) AS lang, any_value(u.n_chars) AS n_chars, count(*) FILTER (WHERE cdf.cdf <= u.u) AS n
-  FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY u.doc_id
+  SELECT u.doc_id, count(*) FILTER (WHERE cdf.cdf <= u.u) AS n FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY u.doc_id
 ), copies AS (
-  SELECT doc_id, source, lang, n_chars, n, unnest(range(n)) AS copy_no FROM counted WHERE n > 0
+  SELECT d.*, counted.n, unnest(range(counted.n)) AS copy_no FROM documents d JOIN counted ON counted.doc_id = d.doc_id WHERE counted.n > 0
 )
-SELECT doc_id, source, lang, n_chars, copy_no::INTEGER AS copy_no, n::INTEGER AS n_copies,
+SELECT * EXCLUDE (n, copy_no), copy_no::INTEGER AS copy_no, n::INTEGER AS n_copies,
   md5('17.order:' || doc_id::VARCHAR || ':' || copy_no::VARCHAR) AS shuffle_key
 FROM copies
 """

@@ -96,3 +96,11 @@ def test_shards(spark):
     assert hilbert_shards(df.limit(0), ["source", "n"], 24).count() == 0
     few = hilbert_shards(df.limit(3), ["source", "n"], 24).collect()
     assert len({r["shard"] for r in few}) == 3 and {r["slot"] for r in few} == {0}
+
+
+def test_many_sources_join_by_shuffle(spark, monkeypatch):
+    rows = [(i, f"t{i}", None if i % 7 == 0 else f"s{i % 7}") for i in range(700)] + [(10_000, "rare", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(tuple, mixing.poisson_mix(df).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.poisson_mix(df).collect()), key=str) == few
