@@ -73,15 +73,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(samples: list[tuple[str, str]], *, epochs=4, rate=1.0, reject=0.001, seed=5) -> LanguageModel:
-    """Fit on (text, language) pairs; reject is the share of right calibration answers that may be rejected."""
-    languages = sorted({lang for _, lang in samples})
+def counted_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text, at most 2**BITS, and how often each occurs."""
+    ids, counts = np.unique(features(text), return_counts=True)
+    return ids.astype(np.int32), counts.astype(np.int64)
+
+
+def train(samples: list[tuple[np.ndarray, np.ndarray, str]], *, epochs=4, rate=1.0, reject=0.001, seed=5) -> LanguageModel:
+    """Fit on (buckets, counts, language) rows; reject is the share of right calibration answers that may be rejected.
+
+    Repeated rows count as often as they occur. Without rows the model knows no
+    language; with one language it gives that to all.
+    """
+    languages = sorted({lang for *_, lang in samples})
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     rows = []
-    for text, lang in samples:
-        ids, counts = np.unique(features(text), return_counts=True)
+    for ids, counts, lang in samples:
         rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32), languages.index(lang)))
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5]
@@ -118,12 +127,22 @@ def train(samples: list[tuple[str, str]], *, epochs=4, rate=1.0, reject=0.001, s
 
 
 def fit_language_model(docs: DataFrame, *, per_language=1500, id_col="doc_id", text_col="text", lang_col="lang", **options) -> LanguageModel:
-    """Train on about per_language rows of each language at most, of the rows given that have text and language."""
+    """Train on about per_language rows of each language at most, of the rows given that have text and language.
+
+    What comes to the driver are counted features, 12 * 2**BITS bytes a row at most however long its text.
+    """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample, _ = bounded_sample(usable, lang_col, per_language, key=F.col(id_col), seed=6)
-    rows = [(t, lang) for t, lang in sample.select(text_col, lang_col).collect() if has_letter(t)]
-    rows.sort()  # the order of collected rows is free; that of training isn't
-    return train(rows, **options)
+
+    def extract(batches):
+        for batch in batches:
+            texts, langs = batch.column("_t").to_pylist(), batch.column("_l").to_pylist()
+            found = [(*counted_features(t), lang) for t, lang in zip(texts, langs, strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([f[2] for f in found], pa.string())], names=["ids", "counts", "lang"])
+
+    rows = sample.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).mapInArrow(extract, "ids binary, counts binary, lang string").collect()
+    rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in rows)  # the order of collected rows is free; that of training isn't
+    return train([(np.frombuffer(i, np.int32), np.frombuffer(c, np.int64), lang) for i, c, lang in rows], **options)
 
 
 ADDED = ("lang_pred", "score", "rejected")

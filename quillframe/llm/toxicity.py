@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._fit import bounded_sample
-from ._shared import fold, table
+from ._shared import broadcast_if_small, fold, table
 from .decontam import fold_words
 
 #: Families of identity terms; a term is swapped for the next of its family.
@@ -32,8 +32,15 @@ IDENTITY_FAMILIES = [
     ["black", "white", "asian", "latino"], ["african", "european"], ["immigrant", "native"], ["immigrants", "natives"],
     ["old", "young"], ["elderly", "youthful"], ["deaf", "hearing"], ["blind", "sighted"], ["disabled", "abled"],
     ["mexican", "american", "chinese", "indian", "german", "french"],
+    ["frauen", "männer"], ["frau", "mann"], ["mädchen", "jungen"], ["muslime", "christen", "juden", "hindus"], ["schwule", "lesben", "heteros"],
+    ["schwarze", "weiße"], ["ausländer", "einheimische"], ["türken", "deutsche", "polen"], ["behinderte", "gesunde"],
+    ["femmes", "hommes"], ["femme", "homme"], ["filles", "garçons"], ["musulmans", "chrétiens", "juifs", "hindous"], ["homosexuels", "hétérosexuels"],
+    ["noirs", "blancs"], ["étrangers", "français"], ["arabes", "européens"], ["handicapés", "valides"],
+    ["mujeres", "hombres"], ["mujer", "hombre"], ["niñas", "niños"], ["musulmanes", "cristianos", "judíos", "hindúes"], ["homosexuales", "heterosexuales"],
+    ["negros", "blancos"], ["extranjeros", "nativos"], ["gitanos", "españoles"], ["discapacitados", "sanos"],
 ]
-SWAP = {a.encode(): f[(i + 1) % len(f)].encode() for f in IDENTITY_FAMILIES for i, a in enumerate(f)}
+#: A term in two families swaps within the first.
+SWAP = {a.encode(): f[(i + 1) % len(f)].encode() for f in reversed(IDENTITY_FAMILIES) for i, a in enumerate(f)}
 BITS = 20
 
 
@@ -85,12 +92,39 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None, buckets: Buckets) -> float:
-        ids, _ = text_features(text, buckets)
-        z = self.bias + float(self.weights[ids].sum())
+    def score(self, text: str | None, buckets: Buckets | None = None) -> float:
+        words = set(fold_words(text))
+        ids = (LiveBuckets(self.weights) if buckets is None else buckets).of(words)
+        z = self.bias + float(self.weights[ids].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+class LiveBuckets(Buckets):
+    """Of a word's buckets those that can add to a score: beginnings without any weight fall out when the word is first seen."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.live = set(np.flatnonzero(weights).tolist())
+
+    def __missing__(self, word: bytes):
+        whole, starts = super().__missing__(word)
+        starts = [ids for ids in starts if not self.live.isdisjoint(ids)]
+        value = self[word] = (whole, starts) if starts or whole in self.live else None
+        return value
+
+    def of(self, words: set[bytes]) -> list[int]:
+        own, shared = set(), {}
+        for found in map(self.__getitem__, words):
+            if found is None:
+                continue
+            own.add(found[0])
+            for ids in found[1]:
+                k = shared[ids] = shared.get(ids, -1) + 1
+                if k < SHARED:
+                    own.add(ids[k])
+        return sorted(own)
+
+
 def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.empty(0, np.int32), np.cumsum([0, *map(len, rows)])
 
@@ -141,14 +175,21 @@ def train(samples: list[tuple[np.ndarray, np.ndarray | None, int, float]], *, mi
     return ToxicityModel(w.astype(np.float32), float(b))
 
 
-def fit_toxicity_model(labelled: DataFrame, *, per_label=6000, id_col="doc_id", text_col="text", label_col="toxic", **options) -> ToxicityModel:
-    """Train on about per_label rows of each label at most; labelled holds texts with labels 0 and 1.
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame | None = None, *, per_label=6000, id_col="doc_id", text_col="text", label_col="toxic", **options) -> ToxicityModel:
+    """Train on about per_label rows of each label at most.
 
-    Rows are weighted by the inverse of their label's sampling rate, so scores
-    keep the share of label 1 that all rows have.
+    labels holds ids with labels 0 and 1 (None: docs holds them itself); other labels and ids without
+    a text are left out, an id with several labels counts with each. The sample is
+    drawn from the narrow labels; texts are fetched by its ids only, which go to the
+    executors behind a count. Rows are weighted by the inverse of their label's
+    sampling rate, so scores keep the share of label 1 that all rows have.
     """
-    usable = labelled.filter(F.col(label_col).isin(0, 1)).select(id_col, text_col, F.col(label_col).cast("int").alias("_y"))
+    own = docs if labels is None else labels
+    usable = own.filter(F.col(label_col).isin(0, 1)).withColumn("_y", F.col(label_col).cast("int"))
     sample, rates = bounded_sample(usable, "_y", per_label, key=F.col(id_col), seed=8)
+    if labels is not None:
+        sample = docs.select(id_col, text_col).join(broadcast_if_small(sample.select(id_col, "_y")), id_col)
+    sample = sample.select(id_col, text_col, "_y")
 
     def extract(batches):
         buckets = Buckets()
@@ -159,7 +200,7 @@ def fit_toxicity_model(labelled: DataFrame, *, per_label=6000, id_col="doc_id",
                 names=[id_col, "_own", "_swapped", "_y"],
             )
 
-    schema = T.StructType([usable.schema[id_col], T.StructField("_own", T.BinaryType()), T.StructField("_swapped", T.BinaryType()), T.StructField("_y", T.IntegerType())])
+    schema = T.StructType([sample.schema[id_col], T.StructField("_own", T.BinaryType()), T.StructField("_swapped", T.BinaryType()), T.StructField("_y", T.IntegerType())])
     rows = sorted(sample.mapInArrow(extract, schema).collect(), key=lambda r: (str(r[0]), r[3], bytes(r[1])))
     ids = lambda raw: None if raw is None else np.frombuffer(raw, np.int32)
     return train([(ids(r[1]), ids(r[2]), r[3], 1 / rates[r[3]]) for r in rows], **options)
@@ -175,7 +216,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col="text", cu
     names = docs.columns
 
     def run(batches):
-        buckets = Buckets()
+        buckets = LiveBuckets(model.weights)
         for batch in batches:
             scores = [model.score(t.as_py(), buckets) for t in batch.column(text_col)]
             cols = [batch.column(c) for c in names] + [pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())]
@@ -192,7 +233,6 @@ def held_out(doc_id="doc_id"):
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.filter(~F.coalesce(held_out(), F.lit(True))).join(labels, "doc_id")
-    model = fit_toxicity_model(labelled)
+    model = fit_toxicity_model(docs, labels.filter(~F.coalesce(held_out(), F.lit(True))))
     found = score_toxicity(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")

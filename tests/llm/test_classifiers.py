@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
-from quillframe.llm import language_id, toxicity
+from pyspark.sql import functions as F
+
+from quillframe.llm import _fit, language_id, toxicity
 
 
 def test_language_id(spark):
@@ -71,3 +73,34 @@ def test_toxicity_query_shape(spark):
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
     one = toxicity.fit_toxicity_model(df.filter("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score_toxicity(df, one).collect()} == {0}
+
+
+def test_sample_rates_far_below_a_millionth(spark):
+    rows = spark.range(20_000_000)
+    rate = 1500 / 1e10  # the rate of a label with 10^10 rows
+    n = rows.filter(_fit.drawn(F.col("id"), 3, F.lit(rate * 10))).count()
+    assert 5 <= n <= 80
+    assert rows.limit(1000).filter(_fit.drawn(F.col("id"), 3, F.lit(1.0))).count() == 1000
+
+
+def test_labels_are_sampled_before_texts(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate(sentences(600, 4))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (8000, 0), (9000, 0), (3, None), (5, 7)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity_model(docs, labels)
+    right = [(model.score(t) >= 0.3) == y for t, y in sentences(300, 5)]
+    assert np.mean(right) > 0.95
+
+
+def test_live_buckets_score_like_all(spark):
+    data = [(*[None if f is None else np.asarray(f, np.int32) for f in toxicity.text_features(t, toxicity.Buckets())], y, 1.0) for t, y in sentences(800, 6)]
+    model = toxicity.train(data)
+    for t, _ in sentences(100, 7):
+        assert abs(model.score(t) - model.score(t, toxicity.Buckets())) < 1e-6
+
+
+def test_neutral_mentions_in_four_languages():
+    """Each language's families swap within themselves."""
+    for family in toxicity.IDENTITY_FAMILIES:
+        assert len(set(family)) == len(family) > 1 and all(t == t.lower() for t in family)
+    assert toxicity.SWAP["frauen".encode()] == "männer".encode() and toxicity.SWAP["musulmans".encode()] == "chrétiens".encode()
