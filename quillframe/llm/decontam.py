@@ -1,13 +1,14 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
 Texts are folded to words; the hashes of all windows of n consecutive words of
-the benchmark's items form a set that goes to the executors. The windows of
-documents are hashed in numpy and looked up; every hit is verified word by word
-before it counts.
-
-The benchmark is broadcast in blocks of `block_words` item words. All blocks
-are chained over the documents in one stage, so any size of benchmark is
-handled with bounded memory and no shuffle of documents.
+the benchmark's items form a set. The windows of documents are hashed in numpy and
+looked up; every hit is verified word by word before it counts.
+
+The benchmark is counted first. Up to `block_words` item words, the set with the words
+behind it is built once and broadcast, and no document is shuffled. Beyond that only a
+bit table of fixed size goes to the executors: windows that it marks meet the
+benchmark's windows in a join by shuffle, on the words themselves, and the hits go back to all
+documents with the same text. Either way gives the same result.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fresh, mix64, table, window_hashes
+from ._shared import fresh, materialize, mix64, table, window_hashes
 
 #: Bytes that belong to words once A-Z are lowered: digits, a-z and all of non-ASCII.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
@@ -92,25 +94,93 @@ class BlockScanner:
         return hits, items
 
 
-def _scan(items: list[tuple], n: int, names: list[str], text_col: str, added: list[str]):
-    """A mapInArrow function that sets the number of words and adds one block's hits (word ranges) and items."""
+def _scan(shared, names: list[str], text_col: str, added: list[str]):
+    """A mapInArrow function that adds the number of words, the hits (word ranges) and the items of a broadcast scanner."""
 
     def run(batches):
-        scanner = BlockScanner(items, n)
+        scanner = shared.value
         for batch in batches:
             hits_out, items_out, n_out = [], [], []
-            for text, hits, ids in zip(batch.column(text_col), batch.column(added[1]), batch.column(added[2]), strict=True):
+            for text in batch.column(text_col):
                 words = fold_words(text.as_py())
                 found, owners = scanner.find(words)
                 n_out.append(len(words))
-                hits_out.append(_union([*hits.as_py(), *found]))
-                items_out.append(sorted(owners.union(ids.as_py())))
+                hits_out.append(_union(found))
+                items_out.append(sorted(x for x in owners if x is not None))
             cols = [batch.column(c) for c in names] + [pa.array(n_out, pa.int64()), pa.array(hits_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
     return run
 
 
+_KEY = "sha2(cast(coalesce({0}, '') as binary), 256)"
+_MARK_BITS = 24
+
+
+def _window_rows(n: int, sizes: list[int] | None, marked=None):
+    """Rows (key, text) -> (key, size, at, x): windows as their words joined by spaces.
+
+    sizes None: an item's own windows, of n words or of all where there are fewer.
+    marked: the broadcast bit table that a window's hash must be marked in.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                words = fold_words(text.as_py())
+                size_out, at_out, x_out = [], [], []
+                for size in ([min(n, len(words))] if words else []) if sizes is None else sizes:
+                    for at in range(len(words) - size + 1):
+                        x = b" ".join(words[at : at + size])
+                        if marked is None or marked.value[xxhash.xxh32_intdigest(x) >> (32 - _MARK_BITS)]:
+                            size_out.append(size), at_out.append(at), x_out.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(x_out), batch.schema.field("key").type), pa.array(size_out, pa.int32()), pa.array(at_out, pa.int32()), pa.array(x_out, pa.binary())], names=["key", "size", "at", "x"])
+
+    return run
+
+
+def _marks(windows: DataFrame) -> np.ndarray:
+    """A bit table of 2**_MARK_BITS entries, whatever the number of windows."""
+
+    def run(batches):
+        marks = np.zeros(1 << _MARK_BITS, bool)
+        for batch in batches:
+            for x in batch.column("x").to_pylist():
+                marks[xxhash.xxh32_intdigest(x) >> (32 - _MARK_BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(marks), pa.int32())], names=["cell"])
+
+    cells = windows.select("x").mapInArrow(run, "cell int").distinct().toArrow().column("cell").to_numpy()
+    marks = np.zeros(1 << _MARK_BITS, bool)
+    marks[cells] = True
+    return marks
+
+
+def _hits_by_join(docs: DataFrame, benchmark: DataFrame, n: int, names: list[str], text_col: str, added: list[str], schema: T.StructType) -> DataFrame:
+    spark = docs.sparkSession
+    items = materialize(benchmark.select(F.col("id").alias("key"), "text").mapInArrow(_window_rows(n, None), "key string, size int, at int, x binary").select(F.col("key").alias("item"), "size", "x").distinct(), "benchmark-windows")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # n values at most
+    marked = spark.sparkContext.broadcast(_marks(items))
+    key = F.expr(_KEY.format(f"`{text_col}`"))
+    spots = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_window_rows(n, sizes, marked), "key string, size int, at int, x binary")
+    met = spots.distinct().join(items, ["size", "x"])
+    per = met.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("spots"), F.collect_set("item").alias("items"))
+    text_key, spots_col, items_col = fresh([*names, *added], "text_key", "spots", "items")
+    per = materialize(per, "benchmark-hits").toDF(text_key, spots_col, items_col)
+    joined = docs.join(per, key == F.col(text_key), "left").drop(text_key)
+
+    def run(batches):
+        for batch in batches:
+            hits, n_out = [], []
+            for text, found in zip(batch.column(text_col), batch.column(spots_col).to_pylist(), strict=True):
+                n_out.append(len(fold_words(text.as_py())))
+                hits.append(_union([x for f in found or [] for x in (f["at"], f["at"] + f["size"])]))
+            items_out = [sorted(x or []) for x in batch.column(items_col).to_pylist()]
+            cols = [batch.column(c) for c in names] + [pa.array(n_out, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
+
+    return joined.mapInArrow(run, schema)
+
+
 def _union(hits: list[int]) -> list[int]:
     """Disjoint ascending ranges [start, end, start, end, ...] of the union of ranges."""
     out: list[int] = []
@@ -122,39 +192,30 @@ def _union(hits: list[int]) -> list[int]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, *, block_words=2_000_000, id_col="item_id", text_col="text"):
-    """Lists of (item id as text, words), each list of at most block_words words or of one item.
-
-    Items come through the driver one partition at a time and leave in blocks:
-    the memory it takes follows the benchmark's size, never that of the documents.
-    An empty benchmark is one empty block.
-    """
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = fold_words(row[1])
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], words))
-        size += len(words)
-    yield block
-
-
-def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col="text", block_words=2_000_000, added=ADDED) -> DataFrame:
+def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col="text", id_col="item_id", item_text_col="text", block_words=200_000, added=ADDED) -> DataFrame:
     """docs with _n_words, _hits (disjoint ranges of hit words, flattened) and _items (ids of items with windows in the text, as text).
 
     An item of fewer than n words, but not none, is one window. Null and wordless
-    texts, on either side, have no hits; repeated items share their hits; items
-    with a null id are left out. An empty benchmark or table gives no hits. The
-    columns are named as in added; columns of docs with these names are replaced.
+    texts, on either side, have no hits; repeated items share their hits; an item
+    with a null id hits like others and is left out of _items. An empty benchmark or
+    table gives no hits. The columns are named as in added; columns of docs with these names are
+    replaced. block_words bounds what goes to the driver and, with about 200 bytes a word, to executors.
     """
-    docs = docs.drop(*added).withColumns({c: v for c, v in zip(added, (F.lit(0).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<string>")), strict=True)})
-    names = [c for c in docs.columns if c not in added]
+    docs = docs.drop(*added)
+    names = docs.columns
     kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(added, kinds, strict=True)])
-    for block in benchmark_blocks(benchmark.filter("item_id is not null"), block_words=block_words):
-        docs = docs.mapInArrow(_scan(block, n, names, text_col, list(added)), schema)
-    return docs
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(fold_words(t.as_py())) for t in batch.column("text")], pa.int64())], names=["n"])
+
+    words = items.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if words > block_words:
+        return _hits_by_join(docs, items, n, names, text_col, list(added), schema)
+    scanner = BlockScanner([(r[0], fold_words(r[1])) for r in items.toLocalIterator()], n)
+    return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(scanner), names, text_col, list(added)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n=10, mode="document", text_col="text") -> DataFrame:

@@ -20,7 +20,7 @@ def brute(docs, items, n=10):
     for i, t in items:
         w = fold(t)
         size = min(n, len(w))
-        if size and i is not None:
+        if size:
             for k in range(len(w) - size + 1):
                 windows.setdefault(tuple(w[k : k + size]), set()).add(str(i))
     out = []
@@ -31,7 +31,7 @@ def brute(docs, items, n=10):
                 found = windows.get(tuple(w[k : k + size]))
                 if found:
                     hit.update(range(k, k + size))
-                    ids |= found
+                    ids |= found - {'None'}
         out.append((d, len(w), len(hit), sorted(ids)))
     return sorted(out)
 
@@ -40,7 +40,7 @@ def frames(spark, docs=DOCS, items=ITEMS):
     return spark.createDataFrame([(i, t, "h") for i, t in docs], "doc_id long, text string, _hits string"), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 5])
+@pytest.mark.parametrize("block_words", [200_000, 5])
 def test_hits(spark, block_words):
     docs, items = frames(spark)
     got = dc.find_benchmark_hits(docs.select("doc_id", "text").repartition(2), items, block_words=block_words).collect()
@@ -51,7 +51,7 @@ def test_hits(spark, block_words):
 def test_removal(spark):
     docs, items = frames(spark)
     clean = dc.decontaminate(docs, items)
-    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5, 8, 8]  # É is no lower-case é
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5, 8]  # É is no lower-case é
     assert clean.filter("_hits <> 'h'").isEmpty()
     spans = {r["doc_id"]: r["text"] for r in dc.decontaminate(docs, items, mode="span").collect()}
     assert spans[1] == "zero   end" and spans[3] == "x   émile" and spans[4] is None
