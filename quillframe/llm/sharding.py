@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.
 
-Each metadata dimension is cut into 2**bits levels at approximate quantiles of
-all rows; a row's levels give its place on the Hilbert curve through the grid.
+Each metadata dimension is cut into 2**bits levels, at approximate quantiles of
+all rows for numbers, at exact ranks for text; a row's levels give its place on the Hilbert curve through the grid.
 Rows sorted by that place are cut into runs whose counts differ by one at most,
 so a shard covers a compact block of the grid and per-file minima and maxima
 prune on every dimension.
@@ -14,15 +14,16 @@ sub-cell are numbered together.
 
 from __future__ import annotations
 
-import os.path
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fresh, table
+from ._shared import fresh, materialize, release, table
+
+#: Grids of up to 2**TABLE_BITS cells have a table of places in the plan; larger ones compute them in numpy.
+TABLE_BITS = 14
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -59,37 +60,51 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _numbers(docs: DataFrame, dims: list[str]) -> dict[str, Column]:
-    """An order-keeping number for each dimension: itself, or for text its first six
-    bytes after the prefix that all values share."""
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    texts = [d for d in dims if isinstance(kinds[d], T.StringType)]
-    shared = {}
-    if texts:
-        ends = docs.agg(*[f(d).alias(f"{n}_{i}") for i, d in enumerate(texts) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        for i, d in enumerate(texts):
-            lo, hi = (os.fsencode(ends[f"{n}_{i}"] or "") for n in ("lo", "hi"))
-            shared[d] = len(os.path.commonprefix([lo, hi]))
-    out = {}
-    for d in dims:
-        if d in shared:
-            tail = F.substring(F.col(d).cast("binary"), shared[d] + 1, 6)
-            out[d] = F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("double")
-        else:
-            out[d] = F.col(d).cast("double")
-    return out
+def text_cuts(docs: DataFrame, dim: str, levels: int, parts: int = 64) -> list[str]:
+    """The values that cut a text column into levels of about equal counts, by exact ranks of whole strings.
+
+    Distinct values are counted, range-partitioned and summed up partition by partition;
+    what comes to the driver is a number per partition and levels - 1 values. Nulls don't count.
+    """
+    counts = docs.filter(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    dealt = materialize(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted(dealt.groupBy("part").agg(F.min("v").alias("lo"), F.sum("k").alias("k")).collect(), key=lambda r: r["lo"].encode("utf-8", "surrogatepass"))
+    total, offsets = 0, {}
+    for r in sums:
+        offsets[r["part"]] = total
+        total += r["k"]
+    if not total:
+        return []
+    before = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), F.col("part"))
+    reached = before + F.sum("k").over(Window.partitionBy("part").orderBy("v"))
+    targets = [total * i / levels for i in range(1, levels)]
+    found = dealt.select("v", reached.alias("reached")).agg(*[F.min(F.when(F.col("reached") >= t, F.col("v"))).alias(f"c{i}") for i, t in enumerate(targets)]).first()
+    release(dealt)
+    return list(found)
 
 
 def with_hilbert(docs: DataFrame, dims: list[str], *, bits: int, out_col: str) -> DataFrame:
-    numbers = _numbers(docs, dims)
+    """docs with each row's place on the curve: levels by comparison with the cuts of each dimension, places from a table of the grid."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    texts = [d for d in dims if isinstance(kinds[d], T.StringType)]
+    numbers = {d: F.col(d).cast("double") for d in dims if d not in texts}
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = docs.agg(*[F.percentile_approx(numbers[d], steps, 10_000).alias(f"q{i}") for i, d in enumerate(dims)]).first()
+    cuts = {d: text_cuts(docs, d, 1 << bits) for d in texts}
+    if numbers:
+        found = docs.agg(*[F.percentile_approx(x, steps, 10_000).alias(f"q{i}") for i, x in enumerate(numbers.values())]).first()
+        cuts |= {d: found[f"q{i}"] or [] for i, d in enumerate(numbers)}
     levels = []
-    for i, d in enumerate(dims):
-        level = F.lit(0)
-        for cut in sorted(set(found[f"q{i}"] or [])):
-            level = level + F.when(numbers[d] > F.lit(cut), 1).otherwise(0)
+    for d in dims:
+        value, level = numbers.get(d, F.col(d)), F.lit(0)
+        for cut in sorted(set(cuts[d])):
+            level = level + F.when(value > F.lit(cut), 1).otherwise(0)
         levels.append(level)
+    if len(dims) * bits <= TABLE_BITS:
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * len(dims), indexing="ij"), axis=-1).reshape(-1, len(dims))
+        cell = F.lit(0)
+        for level in levels:
+            cell = cell * (1 << bits) + level
+        return docs.withColumn(out_col, F.get(F.lit(hilbert_index(grid, bits)), cell))
 
     @F.pandas_udf("long")
     def place(*cols: pd.Series) -> pd.Series:
