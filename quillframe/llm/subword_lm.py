@@ -1,13 +1,14 @@
 """Language-model scores from a subword lattice.
 
-The vocabulary is a public tokenizer's, with its scores; it is never trained.
-Its pieces get probabilities: first from the file's scores, then from the
-training documents, as the expected number of uses of each piece over all
-segmentations of all training words (one step of expectation maximisation). A
-text's probability is the sum over all its segmentations into pieces, computed
+The vocabulary is a public tokenizer's, with its scores: which pieces there are is
+never trained. Their probabilities are: first from the file's scores, then
+re-estimated from the training documents in a few steps of expectation maximisation, each of
+which counts the expected uses of each piece over all segmentations of all training
+words. A text's probability is the sum over all its segmentations into pieces, computed
 by the forward recursion in log space. No piece spans white space, so that sum
 is the product of the sums of its words, and each different word of the corpus
-runs through the recursion once.
+runs through the recursion once a step. Words of equal length run through it
+together, in numpy: a step of the recursion is one operation on all of them.
 
 Words, not texts, meet the counts: a table of the most frequent words goes to the
 executors (a fixed number of rows), the remaining (word, document) pairs join
@@ -55,69 +56,124 @@ class Vocabulary:
         ranks[np.isnan(ranks)] = np.nanmax(ranks) if len(ranks) else 0
         weight = 1 / (ranks + offset)
         self.first = np.log(weight / weight.sum())
-        #: Every beginning of a piece -> the piece's id, -1 for what is no piece itself.
-        self.beginnings = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))} | self.pieces
+        beginnings = sorted({p[:n] for p in self.pieces for n in range(1, len(p) + 1)}, key=len)
+        node = {"": 0} | {p: i for i, p in enumerate(beginnings, 1)}
+        keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in beginnings], np.int64)
+        order = np.argsort(keys)
+        #: The tree of all beginnings of pieces, as sorted (node, character) keys and the nodes they lead to.
+        self.keys, self.nodes = keys[order], order.astype(np.int64) + 1
+        #: Each node's piece, -1 for what is no piece itself.
+        self.piece_at = np.array([-1] + [self.pieces.get(p, -1) for p in beginnings], np.int64)
+        self.bytes = np.array([self.by_byte[b] for b in range(256)])
+
+    def __getstate__(self):
+        """What the recursion needs: arrays only."""
+        return {c: getattr(self, c) for c in ("first", "keys", "nodes", "piece_at", "bytes")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+
+def _by_length(words: list[str], most: int):
+    """Places of words of equal length, in lists of `most` characters at most, or of one word."""
+    places: dict[int, list[int]] = {}
+    for at, word in enumerate(words):
+        places.setdefault(len(word), []).append(at)
+    for n, own in places.items():
+        step = max(1, most // (n + 1))
+        for i in range(0, len(own), step):
+            yield own[i : i + step]
 
 
 class Lattice:
-    """Forward and backward recursions over a word's segmentations, with given log probabilities."""
+    """Forward and backward recursions over words' segmentations, with given log probabilities."""
 
     def __init__(self, vocabulary: Vocabulary, logp: np.ndarray):
-        self.beginnings, self.by_byte = vocabulary.beginnings, vocabulary.by_byte
-        self.logp = logp.tolist()
+        self.v, self.logp = vocabulary, np.append(logp, 0.0)
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple]]]:
-        """For each place, the pieces that end there: (start, log probability, ids).
+    def _edges(self, chars: np.ndarray):
+        """(start, end, rows, ids, log probabilities) of pieces in words of equal length, by start; ids -1 are characters in bytes.
 
         A character that is no piece is spelled in bytes.
         """
-        s = "▁" + word
-        n, beginnings, logp = len(s), self.beginnings.get, self.logp
-        ends: list[list] = [[] for _ in range(n + 1)]
+        v, (rows, n) = self.v, chars.shape
         for i in range(n):
-            j = i + 1
-            k = beginnings(s[i:j], -1)
-            if k < 0:
-                ids = tuple(self.by_byte[b] for b in s[i:j].encode("utf-8", "surrogatepass"))
-                ends[j].append((i, sum([logp[b] for b in ids]), ids))
-            while k is not None:
-                if k >= 0:
-                    ends[j].append((i, logp[k], (k,)))
-                j += 1
-                if j > n:
+            row, node = np.arange(rows), np.zeros(rows, np.int64)
+            for j in range(i, n):
+                key = node << 21 | chars[row, j]
+                at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+                there = v.keys[at] == key
+                ids = np.where(there, v.piece_at[v.nodes[at]], -1)
+                use = ids >= 0
+                if j == i:
+                    lp = self.logp[ids]
+                    if not use.all():
+                        spelled, back = np.unique(chars[~use, i], return_inverse=True)
+                        lp[~use] = np.array([self.logp[self._spelled(c)].sum() for c in spelled])[back]
+                    yield i, j + 1, row, ids, lp
+                elif use.any():
+                    yield i, j + 1, row[use], ids[use], self.logp[ids[use]]
+                row, node = row[there], v.nodes[at[there]]
+                if not len(row):
                     break
-                k = beginnings(s[i:j])
-        return ends
-
-    def forward(self, ends) -> list[float]:
-        exp, log = math.exp, math.log
-        f = [0.0]
-        for j in range(1, len(ends)):
-            terms = [f[i] + lp for i, lp, _ in ends[j]]
-            top = max(terms)
-            f.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
+
+    def _spelled(self, char: int) -> np.ndarray:
+        return self.v.bytes[np.frombuffer(chr(char).encode("utf-8", "surrogatepass"), np.uint8)]
+
+    @staticmethod
+    def _chars(words: list[str]) -> np.ndarray:
+        text = "".join(["▁" + w for w in words])
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(words), -1)
+
+    def _forward(self, chars: np.ndarray, edges) -> np.ndarray:
+        f = np.full((chars.shape[0], chars.shape[1] + 1), -np.inf)
+        f[:, 0] = 0
+        for i, j, row, _, lp in edges:
+            f[row, j] = np.logaddexp(f[row, j], f[row, i] + lp)
         return f
 
-    def logprob(self, word: str) -> float:
-        return self.forward(self.edges(word))[-1]
-
-    def expected(self, word: str, weight: float, out: np.ndarray) -> None:
-        """Add to out the expected uses of each piece in `weight` occurrences of the word."""
-        exp = math.exp
-        ends = self.edges(word)
-        f = self.forward(ends)
-        # posterior flow runs backward along the edges: what reaches j splits over the pieces that end there
-        flow = [0.0] * len(ends)
-        flow[-1] = weight
-        for j in range(len(ends) - 1, 0, -1):
-            here = flow[j]
-            if here <= 0.0:
-                continue
-            for i, lp, ids in ends[j]:
-                share = here * exp(f[i] + lp - f[j])
-                flow[i] += share
-                for k in ids:
-                    out[k] += share
+    def logprobs(self, words: list[str], most: int = 1 << 18) -> np.ndarray:
+        """The log probability of each word, summed over its segmentations."""
+        out = np.empty(len(words))
+        for own in _by_length(words, most):
+            chars = self._chars([words[k] for k in own])
+            out[own] = self._forward(chars, self._edges(chars))[:, -1]
+        return out
+
+    def expected(self, words: list[str], weights: np.ndarray, out: np.ndarray, most: int = 1 << 17) -> None:
+        """Add to out the expected uses of each piece in `weights` occurrences of the words."""
+        for own in _by_length(words, most):
+            chars = self._chars([words[k] for k in own])
+            edges = list(self._edges(chars))
+            f = self._forward(chars, edges)
+            # posterior flow runs backward along the edges: what reaches j splits over the pieces that end there
+            flow = np.zeros_like(f)
+            flow[:, -1] = weights[own]
+            for i, j, row, ids, lp in sorted(edges, key=lambda e: -e[1]):
+                share = flow[row, j] * np.exp(f[row, i] + lp - f[row, j])
+                flow[row, i] += share
+                use = ids >= 0
+                out += np.bincount(ids[use], share[use], len(out))
+                for char in np.unique(chars[row[~use], i]) if not use.all() else ():
+                    np.add.at(out, self._spelled(char), share[~use][chars[row[~use], i] == char].sum())
+
+
+def word_blocks(batches, *columns: str, most: int = 100_000):
+    """Rows of several batches together, so that many words have equal lengths: words as text, and the columns."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield _words_and(held, columns)
+            held, n = [], 0
+    if n:
+        yield _words_and(held, columns)
+
+
+def _words_and(held, columns):
+    table = pa.Table.from_batches(held).combine_chunks()
+    return [w.decode("utf-8", "surrogatepass") for w in table.column("word").to_pylist()], table.column("word").combine_chunks(), *[table.column(c).combine_chunks() for c in columns]
 
 
 def count_words(docs: DataFrame, *, text_col="text", train_col="_train", limit=400_000) -> DataFrame:
@@ -144,28 +200,29 @@ def count_words(docs: DataFrame, *, text_col="text", train_col="_train", limit=4
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
-def fit_pieces(words: DataFrame, vocabulary: Vocabulary, n_docs: int, *, prior=3_000.0) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end of a text, from all training words.
+def fit_pieces(words: DataFrame, vocabulary: Vocabulary, n_docs: int, *, steps=3, prior=3_000.0) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces and of the end of a text, from all training words, after some steps of expectation maximisation.
 
-    prior is the number of pieces that the file's scores count for.
+    prior is the number of pieces that the file's scores count for in each step.
     """
     n = len(vocabulary.first)
+    logp, end, total = vocabulary.first, n_docs + 1.0, prior * np.exp(vocabulary.first)
+    for _ in range(steps):
 
-    def run(batches):
-        lattice = Lattice(vocabulary, vocabulary.first)
-        out = np.zeros(n)
-        for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                lattice.expected(word.decode("utf-8", "surrogatepass"), c, out)
-        used = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out[used], pa.float64())], names=["piece", "uses"])
+        def run(batches, logp=logp):
+            lattice = Lattice(vocabulary, logp)
+            out = np.zeros(n)
+            for block, _, c in word_blocks(batches, "c"):
+                lattice.expected(block, c.to_numpy().astype(float), out)
+            used = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out[used], pa.float64())], names=["piece", "uses"])
 
-    uses = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double")
-    total = prior * np.exp(vocabulary.first)
-    for piece, x in uses.groupBy("piece").agg(F.sum("uses")).collect():  # a row per piece of the vocabulary at most
-        total[piece] += x
-    end = n_docs + 1.0
-    return np.log(total / (total.sum() + end)), math.log(end / (total.sum() + end))
+        uses = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double")
+        total = prior * np.exp(vocabulary.first)
+        for piece, x in uses.groupBy("piece").agg(F.sum("uses")).collect():  # a row per piece of the vocabulary at most
+            total[piece] += x
+        logp = np.log(total / (total.sum() + end))
+    return logp, math.log(end / (total.sum() + end))
 
 
 def score_documents(docs: DataFrame, *, train=None, vocabulary_path=VOCABULARY, id_col="doc_id", text_col="text", frequent=200_000) -> DataFrame:
@@ -177,7 +234,8 @@ def score_documents(docs: DataFrame, *, train=None, vocabulary_path=VOCABULARY,
     with the end as their only token; repeated rows have equal results; without
     any training row base_score is 0 per token and score rests on the file's
     scores; an empty table gives an empty result. Other columns are ignored.
-    frequent bounds the rows of the word table that goes to the executors.
+    frequent bounds the rows of the word table that goes to the executors. Words of any
+    length run whole; words that tie in frequency go by their bytes.
     """
     vocabulary = Vocabulary(vocabulary_path)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), (F.lit(True) if train is None else F.coalesce(train, F.lit(True))).alias("_train"))
@@ -190,11 +248,11 @@ def score_documents(docs: DataFrame, *, train=None, vocabulary_path=VOCABULARY,
 
     def score_words(batches):
         lattice = Lattice(vocabulary, logp)
-        for batch in batches:
-            found = [lattice.logprob(w.decode("utf-8", "surrogatepass")) / LN10 for w in batch.column("word").to_pylist()]
-            c = batch.column("c").to_numpy()
+        for block, word, c, seen in word_blocks(batches, "c", "seen"):
+            c = c.to_numpy()
             base = np.log10((c + 0.5) / below)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(found, pa.float64()), batch.column("seen")], names=["word", "known", "base", "lattice", "seen"])
+            found = lattice.logprobs(block) / LN10
+            yield pa.RecordBatch.from_arrays([word, pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(found), seen], names=["word", "known", "base", "lattice", "seen"])
 
     scored = materialize(words.mapInArrow(score_words, "word binary, known long, base double, lattice double, seen long"), "lm-scores")
     top = scored.orderBy(F.desc("seen"), "word").limit(frequent).drop("seen").toArrow()

@@ -36,10 +36,46 @@ def test_lattice_sums_all_segmentations():
         return total
 
     for word in ("hello", "thé", "a", "梦x", "\x01"):
-        assert abs(lattice.logprob(word) - math.log(every("▁" + word))) < 1e-9
+        assert abs(lattice.logprobs([word])[0] - math.log(every("▁" + word))) < 1e-9
         uses = np.zeros(len(v.first))
-        lattice.expected(word, 2.0, uses)
+        lattice.expected([word], np.array([2.0]), uses)
         assert uses.sum() >= 2.0
+    words = ["hello", "thé", "a", "梦x", "\x01", "there", "hello", "zzzzz", "", "x" * 5000]
+    together = lattice.logprobs(words)
+    assert np.allclose(together, [lattice.logprobs([w])[0] for w in words], rtol=0, atol=1e-9)
+    both, alone = np.zeros(len(v.first)), np.zeros(len(v.first))
+    lattice.expected(words, np.arange(10.0), both)
+    for k, w in enumerate(words):
+        lattice.expected([w], np.array([float(k)]), alone)
+    assert np.allclose(both, alone)
+
+
+def test_expected_uses_are_those_of_all_segmentations():
+    v = lm.Vocabulary()
+    lattice = lm.Lattice(v, v.first)
+
+    def every(s):
+        if not s:
+            yield 1.0, ()
+        for j in range(1, len(s) + 1):
+            k = v.pieces.get(s[:j])
+            ids = (k,) if k is not None else tuple(v.by_byte[b] for b in s[:1].encode()) if j == 1 else None
+            for p, rest in every(s[j:]) if ids is not None else ():
+                yield p * math.exp(sum(v.first[i] for i in ids)), ids + rest
+
+    for word in ("hello", "thé", "梦x"):
+        ways = list(every("▁" + word))
+        want = np.zeros(len(v.first))
+        for p, ids in ways:
+            for i in ids:
+                want[i] += 3 * p / sum(q for q, _ in ways)
+        got = np.zeros(len(v.first))
+        lattice.expected([word], np.array([3.0]), got)
+        assert np.allclose(got, want)
+
+
+def test_vocabulary_probabilities():
+    v = lm.Vocabulary()
     assert abs(np.exp(v.first).sum() - 1) < 1e-9
 
 
