@@ -23,5 +23,6 @@ def oracle_sql():
         "op2_poisson_mix": mixing.OP2_SQL,
         "op3_ngram_join": ngram_join.OP3_SQL,
         "op7_benchmark_decontamination": decontam.OP7_SQL,
+        "op9_suffix_dedup": suffix_dedup.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }

@@ -2,24 +2,24 @@
 
 Every byte covered by a string of `length` bytes that also starts elsewhere goes.
 
-1. Anchors. In each window of `length` bytes the gram of `gram` bytes with the
-   smallest hash (the leftmost of equals) is the window's anchor: equal windows
-   have equal anchors at equal offsets. The window starts that share an anchor
-   are a run, the bytes they cover a chunk. One row per different text.
-2. Classes. Chunks are counted by (anchor hash, digest of the chunk): equal
+1. Anchors. In each window of `length` bytes the smallest hash of a gram of `gram`
+   bytes is the window's anchor: equal windows have equal anchors. Neighbouring
+   window starts with the same anchor, `length` of them at most, are a run, the bytes they
+   cover a chunk. One row per different text.
+2. Classes. Chunks are counted by (anchor, digest of the chunk): equal
    chunks form one class and are carried on once, with their count. Only
    classes that have company, a copy or another class at the same anchor,
-   can hold a repeated window.
-3. Suffix arrays. The classes of an anchor hash meet in one task. Their
-   bytes are concatenated, blocks of whole anchors at a time, and suffixes are
-   sorted in two stages: those smaller than their successor directly, all
+   or in which the anchor moves, can hold a repeated window.
+3. Suffix arrays. The classes of an anchor are dealt into parts of about `classes` each, nearly
+   always one. A part's bytes are concatenated, and blocks of whole parts are sorted
+   in two stages: suffixes smaller than their successor directly, all
    others induced by a scan over the buckets of first bytes. Neighbours in that
    order with a common prefix of `length` bytes are repeated windows.
-4. Repeated windows go back to all occurrences of their class and on to the
+4. Where an anchor has several parts, each part names its different windows, in the order of its
+   suffix array, by their digest, and a count over parts finds those that
+   occur once in theirs and also in another.
+5. Repeated windows go back to all occurrences of their class and on to the
    texts, where their union is cut out.
-
-An anchor with more than `wide` classes is not sorted in one task: its windows
-are dealt by their own digest instead and counted there, with the same result.
 """
 
 from __future__ import annotations
@@ -71,22 +71,28 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-#: Positions take the low bits of the sorted keys, hashes the high ones; 2**28 bytes are the longest text.
-_AT = np.uint64((1 << 28) - 1)
-
+def anchors(raw: bytes, length: int, hashes: GramHashes, segment_bits: int = 21) -> list[tuple[int, int, int, bool]]:
+    """(hash, first window start, last window start, whether the anchor moves) for each run of windows with the same anchor.
 
-def anchors(raw: bytes, length: int, hashes: GramHashes) -> list[tuple[int, int, int]]:
-    """(hash, first window start, last window start) for each run of windows with the same anchor."""
-    if len(raw) < length:
-        return []
-    if len(raw) > int(_AT):
-        raise ValueError(f"a text of {len(raw)} bytes is longer than {int(_AT)}")
-    h = hashes.of(np.frombuffer(raw, np.uint8))
-    key = (h & ~_AT) | np.arange(len(h), dtype=np.uint64)
-    least = (sliding_min(key, length - hashes.gram + 1) & _AT).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    return list(zip(h[least[first]].view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True))
+    Where it doesn't move, no window of the run can equal another one of it. Long texts
+    are taken in segments of 2**segment_bits window starts, which bounds the arrays, not the text.
+    """
+    found = []
+    segment = 1 << segment_bits
+    # positions take the low bits of the sorted keys, hashes the high ones
+    at_bits = np.uint64((1 << (segment + length - 1).bit_length()) - 1)
+    for base in range(0, len(raw) - length + 1, segment):
+        h = hashes.of(np.frombuffer(raw, np.uint8, min(len(raw) - base, segment + length - 1), base))
+        least = sliding_min((h & ~at_bits) | np.arange(len(h), dtype=np.uint64), length - hashes.gram + 1)
+        moves = least[1:] != least[:-1]
+        least &= ~at_bits
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.concatenate([first[1:], [len(least)]]) - 1
+        moved = np.concatenate([[0], np.cumsum(moves)])
+        moving = moved[last] != moved[first]
+        for x, lo, hi, own in zip(least[first].view(np.int64).tolist(), first.tolist(), last.tolist(), moving.tolist(), strict=True):
+            found += [(x, base + at, base + min(hi, at + length - 1), own) for at in range(lo, hi + 1, length)]
+    return found
 
 
 def two_stage_suffixes(x: np.ndarray, depth: int) -> np.ndarray:
@@ -143,8 +149,9 @@ def adjacent_prefixes(x: np.ndarray, order: np.ndarray, limit: int, rows=4096) -
     return out
 
 
-def repeated_starts(chunks: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of several different chunks, which of its windows of length bytes occur again in any of them."""
+def window_order(chunks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For several different chunks: the place in their concatenation where each begins, the starts of
+    whole windows in the order of their suffixes, and which of these equal the one before."""
     sizes = np.array([len(c) for c in chunks])
     x = np.zeros(int(sizes.sum()) + len(chunks), np.uint8)
     # UTF-8 has no byte 255: adding one frees 0 for the ends of chunks
@@ -158,11 +165,16 @@ def repeated_starts(chunks: list[bytes], length: int) -> list[np.ndarray]:
         whole[b : b + max(0, s - length + 1)] = True
     order = order[whole[order]]
     lcp = adjacent_prefixes(x, order, length) if len(order) else np.empty(0, np.int64)
-    twin = lcp >= length
-    again = np.zeros(len(x), bool)
+    return begins, order, lcp >= length
+
+
+def repeated_starts(chunks: list[bytes], length: int, ordered=None) -> list[np.ndarray]:
+    """For each of several different chunks, which of its windows of length bytes occur again in any of them."""
+    begins, order, twin = ordered or window_order(chunks, length)
+    again = np.zeros(sum(map(len, chunks)) + len(chunks), bool)
     again[order[twin]] = True
     again[order[:-1][twin[1:]]] = True
-    return [again[b : b + max(0, s - length + 1)] for b, s in zip(begins, sizes, strict=True)]
+    return [again[b : b + max(0, len(c) - length + 1)] for b, c in zip(begins, chunks, strict=True)]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -170,7 +182,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-_ANCHOR_SQL = "array<struct<h:bigint,digest:binary,lo:int,hi:int>>"
+_ANCHOR_SQL = "array<struct<h:bigint,digest:binary,lo:int,hi:int,own:boolean>>"
 
 
 def _raw(text) -> bytes:
@@ -186,11 +198,11 @@ def _find_anchors(length: int, gram: int):
                 raw = _raw(text.as_py())
                 own = anchors(raw, length, hashes)
                 found += own
-                digests += [hashlib.blake2b(raw[lo : hi + length], digest_size=16).digest() for _, lo, hi in own]
+                digests += [hashlib.blake2b(raw[lo : hi + length], digest_size=16).digest() for _, lo, hi, _ in own]
                 ends.append(len(found))
-            h, lo, hi = zip(*found, strict=True) if found else ((), (), ())
-            cols = [pa.array(h, pa.int64()), pa.array(digests, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names=["h", "digest", "lo", "hi"]))
+            h, lo, hi, moving = zip(*found, strict=True) if found else ((), (), (), ())
+            cols = [pa.array(h, pa.int64()), pa.array(digests, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(moving, pa.bool_())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names=["h", "digest", "lo", "hi", "own"]))
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_id"), lists], names=["_key", "_id", "anchors"])
 
     return run
@@ -201,12 +213,12 @@ def _cut_chunks(length: int):
 
     def run(batches):
         for batch in batches:
-            h, digest, n, chunk, wide = [], [], [], [], []
+            h, digest, parts, chunk = [], [], [], []
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
                 raw = _raw(text.as_py())
                 for w in wanted.as_py():
-                    h.append(w["h"]), digest.append(w["digest"]), n.append(w["n"]), chunk.append(raw[w["lo"] : w["hi"] + length]), wide.append(w["wide"])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(chunk, pa.binary()), pa.array(wide, pa.bool_())], names=["h", "digest", "n", "chunk", "wide"])
+                    h.append(w["h"]), digest.append(w["digest"]), parts.append(w["parts"]), chunk.append(raw[w["lo"] : w["hi"] + length])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.binary()), pa.array(parts, pa.int32()), pa.array(chunk, pa.binary())], names=["h", "digest", "parts", "chunk"])
 
     return run
 
@@ -215,22 +227,52 @@ _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _RUNS_SQL = "array<struct<s:int,e:int>>"
 
 
+_SOLVED = f"h long, digest binary, runs {_RUNS_SQL}, windows array<struct<s:int,window:binary,alone:boolean>>"
+_WINDOWS = pa.list_(pa.struct([("s", pa.int32()), ("window", pa.binary()), ("alone", pa.bool_())]))
+
+
 def _sort_chunks(length: int, block: int):
-    """Chunks ordered by h -> (h, digest, runs of repeated window starts within the chunk)."""
+    """Chunks ordered by (h, part) -> (h, digest, runs of repeated window starts within the chunk, windows).
+
+    windows names each different window of the part at one place, for anchors in several parts, and
+    tells whether it occurs there only; null for others.
+    """
+
+    def named(rows, ordered):
+        """For each row its entries of windows."""
+        begins, order, twin = ordered
+        out: list[list] = [[] for _ in rows]
+        heads = np.flatnonzero(~twin)
+        alone = np.diff(np.concatenate([heads, [len(order)]])) == 1
+        owner = np.searchsorted(begins, order[heads], side="right") - 1
+        for at, k, one in zip(order[heads].tolist(), owner.tolist(), alone.tolist(), strict=True):
+            if rows[k][3] > 1:
+                s = at - int(begins[k])
+                out[k].append({"s": s, "window": hashlib.blake2b(rows[k][2][s : s + length], digest_size=16).digest(), "alone": one})
+        return out
 
     def solve(rows):
-        again = repeated_starts([r[2] for r in rows], length)
-        found = [(r[0], r[1], _runs(a)) for r, a in zip(rows, again, strict=True)]
-        found = [f for f in found if f[2]]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary()), pa.array([[{"s": s, "e": e} for s, e in f[2]] for f in found], _RUNS)], names=["h", "digest", "runs"])
+        chunks = [r[2] for r in rows]
+        ordered = window_order(chunks, length)
+        again = repeated_starts(chunks, length, ordered)
+        windows = named(rows, ordered) if any(r[3] > 1 for r in rows) else [[]] * len(rows)
+        found = [(r[0], r[1], [{"s": s, "e": e} for s, e in _runs(a)], w or None) for r, a, w in zip(rows, again, windows, strict=True)]
+        found = [f for f in found if f[2] or f[3]]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], _RUNS), pa.array([f[3] for f in found], _WINDOWS)], names=["h", "digest", "runs", "windows"])
 
     def run(batches):
-        rows, size = [], 0
+        rows, size, at, last = [], 0, None, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("h", "digest", "chunk")], strict=True):
-                if rows and size >= block and row[0] != rows[-1][0]:
+            cols = [batch.column(c) for c in ("h", "digest", "chunk", "parts", "part")]
+            for i in range(batch.num_rows):
+                *row, part = [c[i].as_py() for c in cols]
+                if (row[0], row[1]) == last:  # rows that repeat an id and a text bring their chunks twice
+                    continue
+                # parts of one anchor never share a block: what is alone in its part would meet the other
+                if rows and (row[0], part) != at and (size >= block or row[0] == rows[-1][0]):
                     yield solve(rows)
                     rows, size = [], 0
+                at, last = (row[0], part), (row[0], row[1])
                 rows.append(row)
                 size += len(row[2])
         if rows:
@@ -239,19 +281,6 @@ def _sort_chunks(length: int, block: int):
     return run
 
 
-def _deal_windows(length: int):
-    """Chunks -> a row for each window: (h, digest, s, window digest)."""
-
-    def run(batches):
-        for batch in batches:
-            for h, digest, chunk in zip(*[batch.column(c).to_pylist() for c in ("h", "digest", "chunk")], strict=True):
-                starts = range(len(chunk) - length + 1)
-                windows = [hashlib.blake2b(chunk[s : s + length], digest_size=16).digest() for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(starts), pa.int64()), pa.array([digest] * len(starts), pa.binary()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())], names=["h", "digest", "s", "window"])
-
-    return run
-
-
 def _cut_texts(length: int):
     def run(batches):
         for batch in batches:
@@ -273,14 +302,16 @@ def _cut_texts(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length=400, gram=128, wide=20_000, block=1 << 18, id_col="doc_id", text_col="text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length=400, gram=128, classes=400, block=1 << 18, id_col="doc_id", text_col="text") -> DataFrame:
     """A row per row of docs: id_col, n_bytes, n_removed, n_spans, kept binary (what remains), kept_sha256.
 
     Null texts count as empty. A text of length bytes or more that occurs in
     several rows goes in all of them, also in rows that repeat an id. Texts
-    shorter than length have nothing removed. Cuts are made between bytes, so
-    kept may not be whole UTF-8. An empty table gives an empty result; other
-    columns are ignored. kept is null where nothing is removed, to spare a copy.
+    shorter than length have nothing removed; texts may be as long as a column
+    holds. Cuts are made between bytes, so kept may not be whole UTF-8. An empty table
+    gives an empty result; other columns are ignored. kept is null where nothing is
+    removed, to spare a copy. classes and block bound what one sort holds: the different chunks
+    of one anchor, each below 2 * length bytes, and the bytes of several small anchors.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("text"))
@@ -291,32 +322,35 @@ def remove_repeats(docs: DataFrame, *, length=400, gram=128, wide=20_000, block=
     texts = found.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("rep"), F.first("anchors").alias("anchors"))
     texts = materialize(texts, "anchors")
     places = texts.select("_key", "rep", "copies", F.inline("anchors"))
-    classes = places.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "rep", "lo", "hi")).alias("at"))
-    company = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("all > 1")
-    classes = materialize(classes.join(company.select("h", "k"), "h"), "chunk-classes")
-    wanted = classes.filter("k > 1").groupBy(F.col("at._key").alias("_key"), F.col("at.rep").alias("_id")).agg(
-        F.collect_list(F.struct("h", "digest", "n", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("k") > wide).alias("wide"))).alias("wanted")
+    counted = places.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "rep", "lo", "hi")).alias("at"), F.max("own").alias("own"))
+    company = materialize(counted.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("own").alias("any_own")).filter("all > 1 or any_own").select("h", "k"), "anchor-classes")
+    found = materialize(counted.join(company, "h"), "chunk-classes")
+    parts = F.ceil(F.col("k") / classes).cast("int")
+    wanted = found.filter("k > 1 or own").groupBy(F.col("at._key").alias("_key"), F.col("at.rep").alias("_id")).agg(
+        F.collect_list(F.struct("h", "digest", parts.alias("parts"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))).alias("wanted")
     )
     same = keyed["_key"].eqNullSafe(F.col("w_key")) & keyed["_id"].eqNullSafe(F.col("w_id"))
     chunks = (
         keyed.join(wanted.withColumnsRenamed({"_key": "w_key", "_id": "w_id"}), same)
         .select("text", "wanted")
-        .mapInArrow(_cut_chunks(length), "h long, digest binary, n long, chunk binary, wide boolean")
+        .mapInArrow(_cut_chunks(length), "h long, digest binary, parts int, chunk binary")
     )
-    # rows that repeat an id and a text bring their chunks twice; such texts go as copies in any case
-    narrow = chunks.filter("not wide").select("h", "digest", "chunk").repartition("h").sortWithinPartitions("h", "digest")
-    solved = narrow.mapInArrow(_sort_chunks(length, block), f"h long, digest binary, runs {_RUNS_SQL}")
-    if not classes.filter(F.col("k") > wide).isEmpty():
-        windows = chunks.filter("wide").select("h", "digest", "chunk").mapInArrow(_deal_windows(length), "h long, digest binary, s int, window binary")
-        twins = windows.groupBy("h", "window").agg(F.count_distinct("digest", "s").alias("n")).filter("n > 1").select("h", "window")
-        dealt = windows.join(twins, ["h", "window"]).groupBy("h", "digest").agg(F.collect_set(F.struct(F.col("s").alias("s"), F.col("s").alias("e"))).alias("runs"))
-        solved = solved.unionByName(dealt)
-    copied = classes.filter("n > 1").select("h", "digest", F.array(F.struct(F.lit(0).alias("s"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("runs"))
+    dealt = chunks.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    solved = dealt.repartition("h", "part").sortWithinPartitions("h", "part", "digest").mapInArrow(_sort_chunks(length, block), _SOLVED)
+    if found.filter(F.col("k") > classes).isEmpty():
+        solved = solved.select("h", "digest", "runs")
+    else:
+        solved = materialize(solved, "solved")
+        windows = solved.select("h", "digest", F.inline("windows"))
+        twins = windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "window")
+        across = windows.filter("alone").join(twins, ["h", "window"]).groupBy("h", "digest").agg(F.collect_list(F.struct(F.col("s").alias("s"), F.col("s").alias("e"))).alias("runs"))
+        solved = solved.select("h", "digest", "runs").unionByName(across)
+    copied = found.filter("n > 1").select("h", "digest", F.array(F.struct(F.lit(0).alias("s"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("runs"))
     repeated = solved.unionByName(copied)
     # texts with copies go whole, below; the cuts are those of texts that occur once
     moved = F.transform("runs", lambda r: F.struct((r["s"] + F.col("lo")).alias("s"), (r["e"] + F.col("lo")).alias("e")))
     hits = places.filter("copies = 1").join(repeated, ["h", "digest"]).select("_key", "rep", moved.alias("runs"))
-    cuts = hits.groupBy("_key", "rep").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    cuts = materialize(hits.groupBy("_key", "rep").agg(F.flatten(F.collect_list("runs")).alias("runs")), "cuts")
     here = keyed["_key"].eqNullSafe(F.col("c_key")) & keyed["_id"].eqNullSafe(F.col("rep"))
     cut = keyed.join(cuts.withColumnRenamed("_key", "c_key"), here).select("_id", "text", "runs").mapInArrow(_cut_texts(length), f"_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
     rest = texts.select("_key", "copies").join(cuts.select("_key"), "_key", "left_anti")
@@ -331,3 +365,25 @@ def remove_repeats(docs: DataFrame, *, length=400, gram=128, wide=20_000, block=
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(1, n - 398)) AS i FROM b WHERE n >= 400)
+), hit AS (
+  SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)
+), run AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM hit)
+), span AS (
+  SELECT doc_id, min(i) AS s, max(i) + 399 AS e FROM run GROUP BY doc_id, k
+), cut AS (
+  SELECT span.doc_id, s, e, x, n, substr(x, 2 * e + 1, 2 * (coalesce(lead(s) OVER (PARTITION BY span.doc_id ORDER BY s), n + 1) - e - 1)) AS after FROM span JOIN b ON b.doc_id = span.doc_id
+), kept AS (
+  SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans, substr(any_value(x), 1, 2 * (min(s) - 1)) || string_agg(after, '' ORDER BY s) AS x FROM cut GROUP BY doc_id
+)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(kept.n_removed, 0)::BIGINT AS n_removed, coalesce(kept.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, b.x))) AS kept_sha256
+FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""

@@ -35,7 +35,8 @@ def test_two_stage_sort_and_repeats():
         assert [a.tolist() for a in sd.repeated_starts(chunks, length)] == [[seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)] for c in chunks]
 
 
-def test_equal_windows_have_equal_anchors():
+@pytest.mark.parametrize("bits", [4, 21])
+def test_equal_windows_have_equal_anchors(bits):
     rng = random.Random(2)
     common = bytes(rng.randrange(97, 100) for _ in range(60))
     hashes = sd.GramHashes(7)
@@ -43,7 +44,7 @@ def test_equal_windows_have_equal_anchors():
     for _ in range(2):
         raw = bytes(rng.randrange(97, 100) for _ in range(rng.randint(0, 40))) + common + bytes(rng.randrange(97, 100) for _ in range(30))
         at = raw.index(common)
-        found = {s: h for h, lo, hi in sd.anchors(raw, 20, hashes) for s in range(lo, hi + 1)}
+        found = {s: h for h, lo, hi, _ in sd.anchors(raw, 20, hashes, bits) for s in range(lo, hi + 1)}
         assert sorted(found) == list(range(len(raw) - 19))
         of.append([found[at + k] for k in range(41)])
     assert of[0] == of[1]
@@ -52,15 +53,15 @@ def test_equal_windows_have_equal_anchors():
 def documents():
     rng = random.Random(3)
     docs = [(i, "".join(rng.choice("ab é") for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, "x" * 50), (103, "x" * 50), (104, "y" * 400), (105, "short"), (106, "short"), (7, docs[7][1]), (107, "q" * 11)]
+    docs += [(100, None), (101, ""), (102, "x" * 50), (103, "x" * 50), (104, "y" * 400), (105, "short"), (106, "short"), (7, docs[7][1]), (107, "q" * 11), (108, "abcab" * 30), (109, "mnopqrstuvwx" * 2 + "k")]
     return docs + [(200 + i, docs[i][1][:20] + "zz" + docs[i + 1][1][5:]) for i in range(30)]
 
 
-@pytest.mark.parametrize("wide", [20_000, 1])
-def test_removal(spark, wide):
+@pytest.mark.parametrize("classes", [400, 2])
+def test_removal(spark, classes):
     docs = documents()
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, copies int").repartition(3)
-    out = sd.remove_repeats(df, length=12, gram=5, wide=wide)
+    out = sd.remove_repeats(df, length=12, gram=5, classes=classes)
     got = sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
     assert got == brute(docs, 12)
     for r in out.filter("n_removed > 0").collect():
@@ -76,3 +77,8 @@ def test_empty_and_long(spark):
     out = sd.remove_repeats(spark.createDataFrame(docs, schema))
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in out.collect()}
     assert got == {1: (600, 1), 2: (600, 1), None: (0, 0), 4: (3000, 1)}
+
+
+def test_one_character_makes_few_chunks():
+    found = sd.anchors(b"a" * 100_000, 400, sd.GramHashes(128))
+    assert len(found) == 250 and all(own for *_, own in found)
