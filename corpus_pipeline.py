@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import decontam, language_id, mixing, ngram_join, sharding
-from quillframe.llm._shared import broadcast_if_small, fresh, materialize, table
+from quillframe.llm._shared import broadcast_if_small, fresh, materialize, release, table
 
 N_SHARDS = 24
 
@@ -33,9 +33,14 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     gone = materialize(paired.filter(~stays).select("doc_id", "text_key").toDF(gone_id, gone_key), "gone")
     key = F.xxhash64("text")
     found = docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key)), "left_anti")
-    if linked.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+    twice = linked.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key").toDF(gone_id, gone_key)
+    if twice.isEmpty():
         return found
-    return found.dropDuplicates(["doc_id", "text"])  # rows that repeat both
+    # linked rows that repeat id and text: one of them; all other rows, wordless ones among them, stay as they are
+    twice = materialize(twice, "twice")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (key == F.col(gone_key))
+    once = found.join(broadcast_if_small(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return found.join(broadcast_if_small(twice), same, "left_anti").unionByName(once)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

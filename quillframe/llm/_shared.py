@@ -55,7 +55,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _CLEAN_UP.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._quillframe_path = path
+    return found
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote, now that nothing reads them any more; other frames and None are left alone."""
+    for df in tables:
+        path = getattr(df, "_quillframe_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _CLEAN_UP[:] = [x for x in _CLEAN_UP if x[1] != path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,17 +85,6 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of the files that df reads, 0 where there are none: a plan-time size, no job."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
 #: Rows of narrow keys up to which a side of a join is broadcast.
 BROADCAST_ROWS = 2_000_000
 

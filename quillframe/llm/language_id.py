@@ -12,6 +12,8 @@ to the executors.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,19 +81,36 @@ def counted_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), counts.astype(np.int64)
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, str]], *, epochs=4, rate=1.0, reject=0.001, seed=5) -> LanguageModel:
+def train(samples: Iterable[tuple[np.ndarray, np.ndarray, str]], *, epochs=4, rate=1.0, reject=0.001, seed=5) -> LanguageModel:
     """Fit on (buckets, counts, language) rows; reject is the share of right calibration answers that may be rejected.
 
     Repeated rows count as often as they occur. Without rows the model knows no
     language; with one language it gives that to all.
     """
-    languages = sorted({lang for *_, lang in samples})
+    # one buffer each for all rows: many small arrays would stay with the driver's allocator
+    all_ids, all_counts, sizes, names = bytearray(), bytearray(), [], []
+    for ids, counts, lang in samples:
+        all_ids += np.asarray(ids, np.uint16).tobytes()
+        all_counts += np.asarray(counts, np.uint32).tobytes()
+        sizes.append(len(ids)), names.append(lang)
+    languages = sorted(set(names))
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows = []
-    for ids, counts, lang in samples:
-        rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32), languages.index(lang)))
+    ends = np.cumsum([0, *sizes])
+    all_ids, all_counts = np.frombuffer(all_ids, np.uint16), np.frombuffer(all_counts, np.uint32)
+    truth_of = [languages.index(lang) for lang in names]
+
+    class Rows:
+        def __len__(self):
+            return len(names)
+
+        def __getitem__(self, i):
+            own = slice(ends[i], ends[i + 1])
+            counts = all_counts[own]
+            return all_ids[own].astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32), truth_of[i]
+
+    rows = Rows()
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5]
     learn = order[len(rows) // 5 :]
@@ -126,10 +145,10 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str]], *, epochs=4, rate=1
     return LanguageModel(languages, table, bias.astype(np.float32), temperature, threshold)
 
 
-def fit_language_model(docs: DataFrame, *, per_language=1500, id_col="doc_id", text_col="text", lang_col="lang", **options) -> LanguageModel:
+def fit_language_model(docs: DataFrame, *, per_language=1000, id_col="doc_id", text_col="text", lang_col="lang", **options) -> LanguageModel:
     """Train on about per_language rows of each language at most, of the rows given that have text and language.
 
-    What comes to the driver are counted features, 12 * 2**BITS bytes a row at most however long its text.
+    What comes to the driver are counted features, compressed, 6 * 2**BITS bytes a row at most however long its text.
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample, _ = bounded_sample(usable, lang_col, per_language, key=F.col(id_col), seed=6)
@@ -138,11 +157,12 @@ def fit_language_model(docs: DataFrame, *, per_language=1500, id_col="doc_id", t
         for batch in batches:
             texts, langs = batch.column("_t").to_pylist(), batch.column("_l").to_pylist()
             found = [(*counted_features(t), lang) for t, lang in zip(texts, langs, strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([f[2] for f in found], pa.string())], names=["ids", "counts", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(f[0], prepend=0).astype(np.uint16).tobytes(), 1) for f in found], pa.binary()), pa.array([zlib.compress(f[1].astype(np.uint32).tobytes(), 1) for f in found], pa.binary()), pa.array([f[2] for f in found], pa.string())], names=["ids", "counts", "lang"])
 
     rows = sample.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).mapInArrow(extract, "ids binary, counts binary, lang string").collect()
-    rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in rows)  # the order of collected rows is free; that of training isn't
-    return train([(np.frombuffer(i, np.int32), np.frombuffer(c, np.int64), lang) for i, c, lang in rows], **options)
+    rows.sort(key=lambda r: (r[2], bytes(r[0]), bytes(r[1])))  # the order of collected rows is free; that of training isn't
+    unpacked = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
+    return train(((np.cumsum(unpacked(i, np.uint16), dtype=np.int32), unpacked(c, np.uint32), lang) for i, c, lang in rows), **options)
 
 
 ADDED = ("lang_pred", "score", "rejected")

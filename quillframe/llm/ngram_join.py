@@ -1,31 +1,35 @@
 """Similarity join of documents on word shingles, by PartEnum signatures.
 
 Two sets of sizes m and n with Jaccard similarity of 4/5 or more differ in
-k = (m + n) / 9 elements at most. The domain of shingle hashes is partitioned
-into parts, as many as fit the size band, and a set's features are its
-nonempty parts, each with the sum of what it holds. An element in which two
-sets differ spoils one part, so two similar sets agree in all but k of the
-parts of either. By the pigeonhole, if the parts of all sets are put in one order
-and each set keeps the first k + 1 of its own, similar sets keep a part in
-common: these are the signatures. The order puts rare parts first, so what many
-documents share, a passage or a licence, signs only for sets that consist of it.
+k = (m + n) / 9 elements at most. PartEnum partitions the domain of shingle
+hashes twice: into first-level partitions, as many as fit the size band, and each
+of these into three second-level parts. Of each first-level partition all subsets of two
+parts are enumerated; a subset with what the set holds in it is one signature.
+An element in which two sets differ lies in one part and spoils the two subsets
+with that part, so similar sets agree in all but 2k signatures of either. By the
+pigeonhole any 2k + 1 signatures of one hold one that the other has; if all
+signatures are put in one order, the first 2k + 1 of either are enough. The order, an
+extra filter, puts rare ones first, so what many documents share, a passage or a
+licence, signs only for sets that consist of it.
 
 Bands double in size; a set within 5/4 of the lower edge of its band also
 signs under the band below, where its smaller partners are. Sets of less than
-`SINGLE` elements have one part per element. A set that fills k parts or fewer
-cannot sign; then the whole table signs again under another seed, and in the
+`SINGLE` elements have one part per element and subsets of one. A set with 2k signatures or
+fewer cannot sign; then the whole table signs again under another seed, and in the
 end with one part per element, so no link is lost.
 
-Parts travel as packed arrays, once to the bucket of their hash, where they are
-counted and parts of one set alone fall out, and once, with their counts, to
-the bucket of their set, where the signatures are chosen. Sets that share one
-are candidates; their similarity is computed on whole sets. Equal sets are one
-node from the start, and links are sought until components are known:
+Signatures travel as packed arrays, once to the bucket of their hash, where they are
+counted and those of one set alone fall out, and once, with their counts, to
+the bucket of their set, where the first 2k + 1 are chosen. Signatures that the very same
+sets share become one. Sets that share one are candidates; their similarity is
+computed on whole sets. Equal sets are one node from the start, and links are
+sought until components are known:
 
 1. in each of a few rounds, each set with the best two, not yet tried, of the most
    central sets of other components in its signatures;
-2. then all pairs that still share a signature across components and may be similar
-   by their sizes and by the histogram of their elements, a bound that loses none.
+2. then, in signatures that still span components, the sets outside the largest component with
+   all others, where the sizes and the histogram of their elements, a bound
+   that loses none, allow a link. Sets of the largest component don't meet each other.
 """
 
 from __future__ import annotations
@@ -38,13 +42,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import WordHashes, broadcast_if_small, input_bytes, materialize, mix64, table, window_hashes
+from ._shared import WordHashes, broadcast_if_small, materialize, mix64, release, table, window_hashes
 
 SHINGLE = 5
 SINGLE = 64
-#: Mean elements in a part at the upper edge of a band.
-FILL = 2.6
-HIST = 128
+#: Mean elements in a first-level partition at the upper edge of a band.
+FILL = 4.5
+#: Second-level parts of a first-level partition; a subset leaves one of them out.
+SECOND = 3
+#: Features that a bucket holds in the mean, and rows of one signature that a task of a join reads at most.
+BUCKET, SPLIT = 2_000_000, 20_000
 
 
 def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -66,25 +73,35 @@ def _band(n: int) -> int:
     return n.bit_length() - 1
 
 
-def _parts(band: int) -> int:
+def _firsts(band: int) -> int:
     return int(np.ceil(2 ** (band + 1) / FILL))
 
 
-def _parts_of(found: np.ndarray, band: int, seed: int) -> np.ndarray:
-    """All nonempty parts of a set in a band's partition, as hashes of part and content."""
+def subset_signatures(found: np.ndarray, band: int, seed: int) -> np.ndarray:
+    """All signatures of a set in a band's partition: a hash for each subset of two second-level parts that isn't empty."""
     salt = mix64(np.array([seed * 1000 + band + 1], np.uint64))[0]
-    part = mix64(found ^ salt) % np.uint64(_parts(band))
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sums = np.add.reduceat(mix64(found[order] + salt), starts)
-    return mix64(sums ^ mix64(part[starts] + salt))
+    place = mix64(found ^ salt) % np.uint64(SECOND * _firsts(band))
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    at = place[starts]
+    content = mix64(np.add.reduceat(mix64(found[order] + salt), starts) ^ mix64(at + salt))
+    first = at // np.uint64(SECOND)
+    row = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]]))
+    grid = np.zeros((int(row[-1]) + 1, SECOND), np.uint64)
+    grid[row, (at % np.uint64(SECOND)).astype(np.int64)] = content
+    out = []
+    for left_out in range(SECOND):
+        one, two = grid[:, (left_out + 1) % SECOND], grid[:, (left_out + 2) % SECOND]
+        held = (one | two) != 0
+        out.append(mix64(one[held] * np.uint64(0x9E3779B97F4A7C15) + two[held] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(left_out + 1)))
+    return np.concatenate(out)
 
 
 def schemes(found: np.ndarray, seed: int) -> list[tuple[np.ndarray, int]] | None:
-    """(parts, slack) under each partition that a set signs by; of its parts all but the last `slack` are signatures.
+    """(signatures, slack) under each partition that a set signs by; in the common order all but the last `slack` are needed.
 
-    None where parts under this seed are too few. seed < 0: one part per element.
+    None where signatures under this seed are too few. seed < 0: one part per element.
     """
     n = len(found)
     if n < 4:  # similar sets of three elements or less are equal
@@ -96,8 +113,8 @@ def schemes(found: np.ndarray, seed: int) -> list[tuple[np.ndarray, int]] | None
     out = []
 
     def under(band, k):
-        parts = _parts_of(found, band, seed)
-        out.append((parts, len(parts) - k - 1))
+        parts = subset_signatures(found, band, seed)
+        out.append((parts, len(parts) - (SECOND - 1) * k - 1))
 
     under(band, most_different(n, n * 5 // 4))
     # partners below the band have 4/5 of n elements to its edge
@@ -125,10 +142,10 @@ def _describe(batches):
 _PARTS = "bucket int, parts binary, unit binary, fps binary, codes binary"
 
 
-def _sign(seed: int, bits: int, flush=1 << 22, units=60_000):
-    """Rows with text -> rows of _PARTS: parts of many sets, by bucket of the part.
+def _sign(seed: int, bits: int, flush=1 << 21, units=60_000):
+    """Rows with text -> rows of _PARTS: signatures of many sets, by bucket of the signature.
 
-    unit (uint16) leads from a part to fps and codes of its set; a code is
+    Bucket and part are the first `bits` and the next 32 bits of the signature's hash. unit (uint16) leads from a part to fps and codes of its set; a code is
     2 * slack + place among the set's schemes. bucket -1: a set couldn't sign.
     """
 
@@ -137,7 +154,7 @@ def _sign(seed: int, bits: int, flush=1 << 22, units=60_000):
         unit = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
         bucket = (part >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        part, unit = part[order], unit[order]
+        part, unit = ((part[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), unit[order]
         values, starts = np.unique(bucket[order], return_index=True)
         table_fp, table_code = np.array(fps, np.int64), np.array(codes, np.int32)
         cols = [[], [], [], []]
@@ -156,7 +173,7 @@ def _sign(seed: int, bits: int, flush=1 << 22, units=60_000):
                 fp = fingerprint(found)
                 if fp in seen or len(found) < 4:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(fp)
                 own = schemes(found, seed)
@@ -185,12 +202,13 @@ def _per_bucket(solve, columns):
     def run(batches):
         held, at = [], None
         for batch in batches:
-            for bucket, *row in zip(batch.column("bucket").to_pylist(), *[batch.column(c).to_pylist() for c in columns], strict=True):
+            cols = [batch.column(c) for c in columns]
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
                 if held and bucket != at:
                     yield solve(at, held)
                     held = []
                 at = bucket
-                held.append(row)
+                held.append([c[i].as_py() for c in cols])
         if held:
             yield solve(at, held)
 
@@ -198,14 +216,15 @@ def _per_bucket(solve, columns):
 
 
 def _count_parts(bits: int):
-    """_PARTS of a bucket -> _SHARED: parts of two sets or more with their counts, by bucket of the set."""
+    """_PARTS of a bucket -> _SHARED: signatures of two sets or more with their counts, by bucket of the set."""
 
     def solve(bucket, rows):
         if bucket < 0:
             return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "packed"])
-        part = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        part = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
         fp = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16)] for r in rows])
         code = np.concatenate([np.frombuffer(r[3], np.int32)[np.frombuffer(r[1], np.uint16)] for r in rows])
+        rows.clear()
         order = np.lexsort((fp, part))
         part, fp, code = part[order], fp[order], code[order]
         new = np.concatenate([[True], (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])])
@@ -215,7 +234,7 @@ def _count_parts(bits: int):
         sets = np.repeat(sizes, sizes)
         keep = sets > 1
         out = np.empty(int(keep.sum()), _ROW)
-        out["fp"], out["sig"], out["code"], out["sets"] = fp[keep], part[keep], code[keep], sets[keep]
+        out["fp"], out["sig"], out["code"], out["sets"] = fp[keep], part[keep].astype(np.int64) | (bucket << 32), code[keep], np.minimum(sets[keep], 2**31 - 1)
         to = (mix64(fp[keep].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         values, starts = np.unique(to[order], return_index=True)
@@ -249,21 +268,44 @@ def _choose_signatures():
     return _per_bucket(solve, ["packed"])
 
 
-def shared_signatures(rows: DataFrame, *, bucket_bytes=16 << 20, seeds=4) -> DataFrame:
-    """(sig, fp, central) of all signatures that different sets share."""
-    size = input_bytes(rows.sparkSession, rows)
-    bits = max(3, min(20, int(np.ceil(np.log2(max(1, 2 * size / bucket_bytes))))))
+def shared_signatures(rows: DataFrame, elements: int, *, bucket=None, seeds=4) -> DataFrame:
+    """(sig, fp, central, size, weight) of the signatures that different sets share.
+
+    elements is the sum of all sets' sizes, from which the number of buckets follows.
+    Of signatures with the same sets one stays, with their number as weight; size is its number of sets.
+    """
+    bits = max(3, int(np.ceil(np.log2(max(1, elements / (bucket or BUCKET))))))
     spread = lambda df: df.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     for seed in [*range(seeds), -1]:
         parts = rows.select("text").mapInArrow(_sign(seed, bits), _PARTS)
         counted = spread(parts).mapInArrow(_count_parts(bits), _SHARED)
         signed = materialize(spread(counted).mapInArrow(_choose_signatures(), _GROUPS), "signatures")
         if signed.filter("fp is null").isEmpty():
-            alone = signed.groupBy("sig").count().filter("count > 1").select("sig")
-            return materialize(signed.join(alone, "sig"), "shared-signatures")
+            who = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+            sets = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *who).filter("size > 1")
+            kept = sets.groupBy("size", "x0", "x1").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight")).select("sig", "size", "weight")
+            found = materialize(signed.join(kept, "sig"), "shared-signatures")
+            release(signed)
+            return found
+        release(signed)
     raise AssertionError("every set signs with one part per element")
 
 
+def _meet(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """rows (with sig, size, fp) joined with each, a row per (sig, size); rows of a large signature are dealt over several tasks."""
+    salts = F.ceil(F.col("size") / SPLIT).cast("int")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int"))
+    right = each.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size")
+    return left.join(right, ["sig", "salt"]).drop("salt")
+
+
+def histogram(found: np.ndarray) -> bytes:
+    """Counts of the elements by their first bits, half to as many bins as elements; one bin of 0, which bounds nothing, if a count passes 255."""
+    bits = max(6, len(found).bit_length() - 1)
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\0"
+
+
 def _load_sets(batches):
     """Rows with text and the wanted fp -> (fp, n, hist, elements), where the text's set has that fp."""
     hashes = WordHashes()
@@ -273,7 +315,7 @@ def _load_sets(batches):
             found = shingles(text.as_py(), hashes)
             if fingerprint(found) == wanted:
                 fps.append(wanted), ns.append(len(found)), blobs.append(found.tobytes())
-                hists.append(np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=HIST), 255).astype(np.uint8).tobytes())
+                hists.append(histogram(found))
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(hists, pa.binary()), pa.array(blobs, pa.binary())], names=["fp", "n", "hist", "elements"])
 
 
@@ -298,53 +340,100 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
 
 
-_MEMBER = "array<struct<fp:bigint,component:bigint,n:bigint,hist:binary>>"
+_MEMBER = "array<struct<fp:bigint,component:bigint,n:bigint,hist:binary,first:array<bigint>>>"
+#: Of a set's signatures that span components, so many, the smallest, travel with it.
+FIRST = 8
 
 
-def _possible(rows=512):
-    """Members of a signature (left block, right block) -> pairs across components that their bounds allow."""
+def _side(members: pa.StructArray) -> tuple:
+    """fp, component and n of a block's members, FIRST of their signatures, and the bins of each member's histogram in one array with their ends."""
+    hist = members.field("hist")
+    ends = np.frombuffer(hist.buffers()[1], np.int32)[hist.offset : hist.offset + len(hist) + 1]
+    bins = np.frombuffer(hist.buffers()[2], np.uint8)
+    first = np.full((len(members), FIRST), np.iinfo(np.int64).max)
+    own = members.field("first")
+    sizes = np.diff(own.offsets.to_numpy())
+    first[np.arange(FIRST) < sizes[:, None]] = own.flatten().to_numpy(zero_copy_only=False)
+    return *[members.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "component", "n")], first, bins, ends
+
+
+def _folded(bins: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Histograms of different widths, all powers of two, as rows of `width` sums."""
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), width), np.int32)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        out[own] = bins[ends[own][:, None] + np.arange(size)].reshape(len(own), width, size // width).sum(axis=2, dtype=np.int32)
+    return out
+
+
+def _possible(rows=256, known=200_000):
+    """Members of a signature (left block, right block) -> pairs across components that their bounds allow.
+
+    right is null where a block meets itself. A pair is left to a smaller signature of both where the
+    first ones that travel with the sets show one, else given once, as far as the last `known` pairs of this task tell.
+    """
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                right = right or left
-                one, two = [{c: np.array([m[c] for m in side]) for c in ("fp", "component", "n")} | {"h": np.stack([np.frombuffer(m["hist"], np.uint8).astype(np.int16) for m in side])} for side in (left, right)]
-                for i in range(0, len(one["n"]), rows):
+            for sig, left, right in zip(batch.column("sig").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                one = _side(left.values)
+                two = one if right.values is None else _side(right.values)
+                width = int(min(np.diff(one[5]).min(), np.diff(two[5]).min()))
+                hists = None
+                for i in range(0, len(one[0]), rows):
                     cut = slice(i, i + rows)
-                    ok = one["component"][cut, None] != two["component"][None]
-                    most = (one["n"][cut, None] + two["n"][None]) // 9
-                    ok &= np.abs(one["n"][cut, None] - two["n"][None]) <= most
-                    if left is right:
-                        ok &= one["fp"][cut, None] < two["fp"][None]
+                    ok = one[1][cut, None] != two[1][None]
+                    most = (one[2][cut, None] + two[2][None]) // 9
+                    ok &= np.abs(one[2][cut, None] - two[2][None]) <= most
+                    if two is one:
+                        ok &= one[0][cut, None] < two[0][None]
                     x, y = np.nonzero(ok)
-                    for j in range(0, len(x), 1 << 14):
-                        u, v = x[j : j + (1 << 14)], y[j : j + (1 << 14)]
-                        near = np.abs(one["h"][cut][u] - two["h"][v]).sum(axis=1) <= most[u, v]
-                        p, q = one["fp"][cut][u[near]], two["fp"][v[near]]
-                        if len(p):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                    if len(x) and hists is None:
+                        hists = [_folded(*side[4:], width) for side in (one, two)]
+                    step = max(1, (1 << 22) // width)
+                    for j in range(0, len(x), step):
+                        u, v = x[j : j + step], y[j : j + step]
+                        near = np.abs(hists[0][cut][u] - hists[1][v]).sum(axis=1) <= most[u, v]
+                        u, v = u[near], v[near]
+                        mine = one[3][cut][u]
+                        here = ~((mine[:, :, None] == two[3][v][:, None, :]) & (mine < sig)[:, :, None]).any(axis=(1, 2))
+                        p, q = one[0][cut][u[here]], two[0][v[here]]
+                        new = [pair for pair in zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True) if pair not in seen]
+                        if new:
+                            if len(seen) > known:
+                                seen.clear()
+                            seen.update(new)
+                            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _remaining_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, block=1000) -> DataFrame:
+def _remaining_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, block=500) -> DataFrame:
     """All pairs that share a signature across components and pass the bounds.
 
-    Members of a signature are dealt into blocks of about `block`; blocks meet
-    pair by pair, so no row and no task holds more than two of them.
+    Members of a signature are dealt into blocks of about `block`, those of its largest
+    component into blocks of their own, which meet the others but not each
+    other; no row and no task holds more than two blocks at a time.
     """
-    named = groups.select("sig", "fp").join(labels, "fp")
-    cross = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("sig", "size")
-    members = named.join(cross, "sig").join(sets.select("fp", "n", "hist"), "fp")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    lists = dealt.groupBy("sig", "block").agg(F.first("size").alias("size"), F.collect_list(F.struct("fp", "component", "n", "hist")).alias("members"))
-    own = lists.select(F.col("members").alias("left"), F.lit(None).cast(_MEMBER).alias("right"))
-    wide = lists.filter(F.col("size") > block)
-    one = wide.select("sig", F.col("block").alias("i"), F.col("members").alias("left"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)).alias("j")).filter("i < j")
-    two = wide.select("sig", F.col("block").alias("j"), F.col("members").alias("right"))
-    apart = one.join(two, ["sig", "j"]).select("left", "right")
-    return own.unionByName(apart).mapInArrow(_possible(), "a long, b long").distinct()
+    named = groups.select("sig", "fp", "size").join(labels, "fp")
+    by_component = named.groupBy("sig", "size", "component").agg(F.count(F.lit(1)).alias("k"))
+    cross = by_component.groupBy("sig", "size").agg(F.max(F.struct("k", "component")).alias("main")).filter(F.col("main.k") < F.col("size"))
+    spanning = _meet(named, cross)
+    first = spanning.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
+    members = spanning.join(sets.select("fp", "n", "hist").join(first, "fp"), "fp")
+    inner, outer = (F.ceil(x / block).cast("int") for x in (F.col("main.k"), F.col("size") - F.col("main.k")))
+    own = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    dealt = members.select("sig", inner.alias("inner"), outer.alias("outer"), F.when(F.col("component") == F.col("main.component"), own(inner)).otherwise(inner + own(outer)).alias("block"), F.struct("fp", "component", "n", "hist", "first").alias("member"))
+    lists = materialize(dealt.groupBy("sig", "block", "inner", "outer").agg(F.collect_list("member").alias("members")), "blocks")
+    rest = lists.filter("block >= inner")
+    alone = rest.select("sig", F.col("members").alias("left"), F.lit(None).cast(_MEMBER).alias("right"))
+    others = F.filter(F.sequence(F.lit(0), F.col("inner") + F.col("outer") - 1), lambda j: (j < F.col("inner")) | (j > F.col("block")))
+    one = rest.select("sig", F.col("members").alias("left"), F.explode(others).alias("block"))
+    two = lists.select("sig", "block", F.col("members").alias("right"))
+    apart = one.join(two, ["sig", "block"]).select("sig", "left", "right")
+    return alone.unionByName(apart).mapInArrow(_possible(), "a long, b long").distinct()
 
 
 def _best_pairs(groups: DataFrame, labels: DataFrame | None, tested: DataFrame | None, each: int = 2) -> DataFrame:
@@ -355,11 +444,11 @@ def _best_pairs(groups: DataFrame, labels: DataFrame | None, tested: DataFrame |
     """
     named = groups.join(labels, "fp") if labels is not None else groups.withColumn("component", F.col("fp"))
     top = F.max(F.struct("central", "fp", "component"))
-    first = named.groupBy("sig").agg(top.alias("one"))
-    with_first = named.join(first, "sig")
-    second = with_first.filter("component <> one.component").groupBy("sig").agg(top.alias("two"))
-    chosen = with_first.join(second, "sig").withColumn("to", F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two")))
-    pairs = chosen.groupBy("fp", F.col("to.fp").alias("other")).agg(F.max("to.central").alias("central"), F.count(F.lit(1)).alias("shared"))
+    first = named.groupBy("sig", "size").agg(top.alias("one"))
+    with_first = _meet(named, first)
+    second = with_first.filter("component <> one.component").groupBy("sig", "size").agg(top.alias("two"))
+    chosen = _meet(with_first, second).withColumn("to", F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two")))
+    pairs = chosen.groupBy("fp", F.col("to.fp").alias("other")).agg(F.max("to.central").alias("central"), F.sum("weight").alias("shared"))
     pairs = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"), "fp", "central", "shared")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -383,7 +472,8 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
     id_type = docs.schema[id_col].dataType.simpleString()
     described = materialize(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, f"_id {id_type}, text_key long, n_shingles long, fp long"), "shingle-sets")
     first = described.filter("fp is not null").groupBy("fp").agg(F.min("_id").alias("_id"))
-    groups = shared_signatures(rows)
+    elements = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    groups = shared_signatures(rows, elements)
     if groups.isEmpty():
         labels = None
     else:
@@ -396,7 +486,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
             found = connected_components(edges).withColumnRenamed("node", "fp")
             return everyone.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
-        labels, tested, edges = everyone.withColumn("component", F.col("fp")), None, None
+        labels, tested, edges = None, None, None
         for _ in range(rounds):
             more = materialize(_best_pairs(groups, labels, tested), "pairs")
             tested = more if tested is None else tested.union(more)
@@ -404,8 +494,13 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
             if new.isEmpty():
                 break
             edges = new if edges is None else edges.union(new)
-            labels = materialize(named(edges), "labels")
-        rest = _remaining_pairs(groups, labels, sets).join(tested, ["a", "b"], "left_anti")
+            old, labels = labels, materialize(named(edges), "labels")
+            release(old)
+        if labels is None:
+            labels = everyone.withColumn("component", F.col("fp"))
+        rest = _remaining_pairs(groups, labels, sets)
+        if tested is not None:
+            rest = rest.join(tested, ["a", "b"], "left_anti")
         new = materialize(verified(rest, sets), "links")
         if not new.isEmpty():
             labels = named(new if edges is None else edges.union(new))

@@ -15,7 +15,6 @@ sub-cell are numbered together.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,11 +105,12 @@ def with_hilbert(docs: DataFrame, dims: list[str], *, bits: int, out_col: str) -
             cell = cell * (1 << bits) + level
         return docs.withColumn(out_col, F.get(F.lit(hilbert_index(grid, bits)), cell))
 
-    @F.pandas_udf("long")
-    def place(*cols: pd.Series) -> pd.Series:
+    import pandas as pd
+
+    def place(*cols):
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cols], axis=1), bits))
 
-    return docs.withColumn(out_col, place(*levels))
+    return docs.withColumn(out_col, F.pandas_udf(place, "long", F.PandasUDFType.SCALAR)(*levels))
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int, *, bits=4, sub_cells=64, id_col="doc_id") -> DataFrame:

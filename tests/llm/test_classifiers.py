@@ -84,7 +84,7 @@ def test_sample_rates_far_below_a_millionth(spark):
 
 
 def test_labels_are_sampled_before_texts(spark):
-    rows = [(i, t, y) for i, (t, y) in enumerate(sentences(600, 4))]
+    rows = [(i, t, y) for i, (t, y) in enumerate(sentences(1500, 4))]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (8000, 0), (9000, 0), (3, None), (5, 7)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity_model(docs, labels)

@@ -4,8 +4,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillframe.llm import mixing, sharding
 from quillframe.llm.mixing import op2_poisson_mix, poisson_cdf, poisson_count, poisson_mix, source_rates
-from quillframe.llm.sharding import hilbert_index, hilbert_shards
+from quillframe.llm.sharding import hilbert_index, hilbert_shards, text_cuts
 
 SCHEMA = "doc_id long, source string, n long, h string, copy_no string"
 
@@ -26,7 +27,7 @@ def test_inverse_poisson(spark):
 def test_mix(spark):
     df = docs(spark, 5000)
     targets = {"a": 1.0, "b": 3.0}
-    rates = {r["source"]: r["rate"] for r in source_rates(df, targets).collect()}
+    rates = {r["source"]: r["rate"] for r in source_rates(df, targets)[0].collect()}
     assert abs(rates["a"] - 0.25 * 5000 / 3000) < 1e-9 and abs(rates["b"] - 0.75 * 5000 / 1000) < 1e-9 and rates[None] == 0
     out = poisson_mix(df, targets)
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
@@ -43,7 +44,7 @@ def test_mix(spark):
 
 def test_mix_rates_above_one_draw(spark):
     df = spark.createDataFrame([(i, "rare" if i < 3 else "one" if i == 3 else "many", 0, "x", "c") for i in range(30000)], SCHEMA)
-    rates = {r["source"]: r["rate"] for r in source_rates(df, None).collect()}
+    rates = {r["source"]: r["rate"] for r in source_rates(df, None)[0].collect()}
     assert abs(rates["one"] - 10000) < 1e-6 and abs(rates["rare"] - 10000 / 3) < 1e-6
     out = poisson_mix(df)
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
@@ -104,3 +105,18 @@ def test_many_sources_join_by_shuffle(spark, monkeypatch):
     few = sorted(map(tuple, mixing.poisson_mix(df).collect()), key=str)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     assert sorted(map(tuple, mixing.poisson_mix(df).collect()), key=str) == few
+
+
+def test_text_cuts_see_whole_strings(spark):
+    rows = [("",)] + [(f"a_long_shared_stem_{i % 16:02d}",) for i in range(1600)] + [(None,)]
+    df = spark.createDataFrame(rows, "s string")
+    cuts = text_cuts(df, "s", 16, parts=5)
+    assert cuts == [f"a_long_shared_stem_{i:02d}" for i in range(15)]
+    assert text_cuts(df.filter("s is null"), "s", 4) == []
+
+
+def test_places_of_a_large_grid_are_computed(spark, monkeypatch):
+    df = docs(spark, 300)
+    table = sorted((r["n"], r["hilbert"]) for r in hilbert_shards(df, ["source", "n"], 3, bits=3).collect())
+    monkeypatch.setattr(sharding, "TABLE_BITS", 0)
+    assert sorted((r["n"], r["hilbert"]) for r in hilbert_shards(df, ["source", "n"], 3, bits=3).collect()) == table

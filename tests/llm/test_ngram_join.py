@@ -77,7 +77,7 @@ def test_components(spark, seed, sizes):
 
 def test_fallback_to_one_part_per_element(spark, monkeypatch):
     docs = varied(3, [70, 100, 150], groups=8)
-    monkeypatch.setattr(nj, "_parts_of", lambda found, band, seed: found[:3])
+    monkeypatch.setattr(nj, "subset_signatures", lambda found, band, seed: found[:3])
     assert nj.schemes(np.arange(100, dtype=np.uint64), 0) is None
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs)} == brute(docs)
 
@@ -101,13 +101,44 @@ def test_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("1", "1"), ("1", "1"), ("2", "2"), ("2", "2"), ("None", "1"), ("None", "None")]
 
 
-def test_blocks_of_a_wide_signature(spark):
-    sets = spark.createDataFrame([(i, 10, bytearray(np.full(128, i % 3, np.uint8).tobytes()), bytearray()) for i in range(30)], "fp long, n long, hist binary, elements binary")
-    groups = spark.createDataFrame([(7, i) for i in range(30)], "sig long, fp long")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "fp long, component long")
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 2 != b % 2 and a % 3 == b % 3}
-    for block in (4, 1000):
-        assert {tuple(r) for r in nj._remaining_pairs(groups, labels, sets, block=block).collect()} == want
+def test_blocks_of_a_wide_signature(spark, monkeypatch):
+    # histograms of 64 and of 128 bins that agree when folded
+    hist = lambda i: bytearray(np.full(64 * (1 + i % 2), (i % 3 + 1) * 2 // (1 + i % 2), np.uint8).tobytes())
+    sets = spark.createDataFrame([(i, 10, hist(i), bytearray()) for i in range(30)], "fp long, n long, hist binary, elements binary")
+    groups = spark.createDataFrame([(g, i, 30) for g in (7, 8) for i in range(30)], "sig long, fp long, size long")
+    for parts in (2, 5):
+        labels = spark.createDataFrame([(i, min(i % parts, i // 10)) for i in range(30)], "fp long, component long")
+        of = lambda i: min(i % parts, i // 10)
+        want = {(a, b) for a in range(30) for b in range(a + 1, 30) if of(a) != of(b) and a % 3 == b % 3}
+        for block, split in ((4, 3), (1000, 20_000)):
+            monkeypatch.setattr(nj, "SPLIT", split)
+            assert {tuple(r) for r in nj._remaining_pairs(groups, labels, sets, block=block).collect()} == want
+
+
+def test_large_signatures_are_dealt_over_tasks(spark, monkeypatch):
+    docs = varied(5, [30, 80, 140], groups=6, copies=12)
+    monkeypatch.setattr(nj, "SPLIT", 2)
+    monkeypatch.setattr(nj, "BUCKET", 500)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs, rounds=1)} == brute(docs)
+
+
+def test_without_rounds_all_pairs_remain(spark):
+    docs = varied(6, [12, 90], groups=6, copies=6)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs, rounds=0)} == brute(docs)
+
+
+def test_subsets_of_second_level_parts():
+    found = np.unique(np.random.default_rng(2).integers(0, 2**64, 100, dtype=np.uint64))
+    whole = nj.subset_signatures(found, 6, 0)
+    assert len(np.unique(whole)) == len(whole) > 2 * nj.most_different(100, 125)
+    for i in range(100):  # one element is in one part, which two of the three subsets hold
+        less = nj.subset_signatures(np.delete(found, i), 6, 0)
+        assert len(np.setdiff1d(whole, less)) == 2 and len(np.setdiff1d(less, whole)) <= 2
+
+
+def test_histogram_bound():
+    found = np.unique(np.random.default_rng(3).integers(0, 2**64, 700, dtype=np.uint64))
+    assert len(nj.histogram(found)) == 512 and nj.histogram(np.arange(300, dtype=np.uint64)) == b"\0"
 
 
 def test_connected_components(spark):
