@@ -49,3 +49,14 @@ def ordered_distinct(first: DataFrame, second: DataFrame, key: str) -> DataFrame
     """Keys of first, then of second, each once: key, side (0 or 1), ord (smallest of its side)."""
     both = first.select(key, F.lit(0).alias("side"), "ord").unionByName(second.select(key, F.lit(1).alias("side"), "ord"))
     return both.groupBy(key).agg(F.min(F.struct("side", "ord")).alias("_at")).select(key, "_at.side", "_at.ord")
+
+
+def common_keys(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Keys that both sides have, each once; a null key counts as a key."""
+    return first.select(key).intersect(second.select(key))
+
+
+def unshared_keys(first: DataFrame, second: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """Keys that one side alone has, each once, with that side's name as `side`."""
+    one, two = first.select(key), second.select(key)
+    return one.subtract(two).select(key, F.lit(names[0]).alias("side")).unionByName(two.subtract(one).select(key, F.lit(names[1]).alias("side")))

@@ -54,12 +54,13 @@ cells AS (
 
 
 def validate_columns(spark, sf_dir):
-    return _validation(spark, sf_dir).columns.select("column", "total_compared", "matches", "mismatches", "missing")
+    return _validation(spark, sf_dir).columns.select("column", "total_compared", "matches", "mismatches", "accuracy", "missing", "missing_rate")
 
 
 _VALIDATE_COLUMNS = _CELLS + """
 SELECT col AS "column", count(*) AS total_compared, count(*) FILTER (WHERE gv = ov) AS matches, count(*) FILTER (WHERE gv <> ov) AS mismatches,
-  count(*) FILTER (WHERE gv <> '' AND ov = '') AS missing FROM cells GROUP BY col"""
+  round_even(count(*) FILTER (WHERE gv = ov) / count(*), 4) AS accuracy, count(*) FILTER (WHERE gv <> '' AND ov = '') AS missing,
+  round_even(count(*) FILTER (WHERE gv <> '' AND ov = '') / count(*), 4) AS missing_rate FROM cells GROUP BY col"""
 
 
 def validate_overall(spark, sf_dir):
@@ -183,9 +184,9 @@ def email_clean(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", clean.clean_email(F.col("raw")).alias("email"))
 
 
-_EMAIL = """WITH e AS (SELECT doc_id, regexp_extract(text, '[a-z0-9.]+@[a-z.]+') AS raw FROM documents WHERE contains(text, '@')),
-c AS (SELECT doc_id, regexp_extract(raw, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+(?:info|com|net|org|biz|gov|edu|int|app|dev|co|io|id|us|uk|me|ai)') AS email FROM e)
-SELECT doc_id, lower(email) AS email FROM c WHERE email <> '' AND NOT contains(lower(email), 'melvin')"""
+_EMAIL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\s|,;/]+'), lambda x: contains(x, '@')) AS w FROM documents),
+e AS (SELECT doc_id, list_filter(list_transform(w, lambda x: lower(regexp_extract(x, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+(?:info|com|net|org|biz|gov|edu|int|app|dev|co|io|id|us|uk|me|ai)'))), lambda x: x <> '' AND NOT contains(x, 'melvin')) AS e FROM w)
+SELECT doc_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ' | ') AS email FROM e"""
 
 
 def tel_clean(spark, sf_dir):
@@ -194,8 +195,8 @@ def tel_clean(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", clean.clean_tel(F.col("raw")).alias("tel"))
 
 
-_TEL = r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_extract(text, '\+1 \(\d{3}\) \d{3}-\d{4}'), '[^0-9]', '', 'g') AS n FROM documents WHERE regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}'))
-SELECT doc_id, '+(' || substr(n, 1, 3) || ')' || substr(n, 4, 3) || '-' || substr(n, 7, 4) AS tel FROM d"""
+_TEL = r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\+1 \(\d{3}\) \d{3}-\d{4}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS n FROM documents)
+SELECT doc_id, array_to_string(list_transform(n, lambda x: '+(' || substr(x, 1, 3) || ')' || substr(x, 4, 3) || '-' || substr(x, 7, 4)), ' | ') AS tel FROM n"""
 
 
 def site_clean(spark, sf_dir):
@@ -330,21 +331,39 @@ def first_wins(spark, sf_dir):
 _FIRST = "SELECT page_id % 40 AS stem, page_id, url AS path FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) = 1"
 
 
+def ground_truth_rows(spark, sf_dir):
+    """Annotations of several shapes, one per customer: an object with text, a bare string, a number for text, null."""
+    from ..operators.ground_truth import ground_truth
+
+    k = F.col("c_custkey").cast("string")
+    due = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('{"text":" Due Date :  A  '), k, F.lit(' "}'))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit('"Due Date : b: '), k, F.lit('"')))
+    due = F.coalesce(due, F.when(F.col("c_custkey") % 4 == 2, F.lit('{"text":7}')), F.lit("null"))
+    buyer = F.concat(F.lit('{"text":"Bill to: '), F.col("c_name"), F.lit("\\nTEL:  +"), k, F.lit("\\r\\n  Email : a"), k, F.lit("@x.org  \\nEmail: later\\nSite"), F.lit('"}'))
+    data = F.concat(F.lit('{"DUE_DATE":'), due, F.lit(',"BUYER":'), buyer, F.lit("}"))
+    rows = _t(spark, sf_dir, "customer").select(F.concat(F.lit("a/c"), k, F.lit(".json")).alias("path"), F.parse_json(data).alias("data"))
+    return ground_truth(rows).select(F.col("Nomor").alias("nomor"), F.col("Nama File").alias("file"), F.col("Due Date").alias("due"), F.col("PO Number").alias("po"), F.col("Tel").alias("tel"), F.col("Email").alias("email"), F.col("Site").alias("site"))
+
+
+_GROUND_TRUTH = """SELECT CAST(row_number() OVER (ORDER BY 'c' || c_custkey || '.json') AS VARCHAR) AS nomor, 'c' || c_custkey || '.jpg' AS file,
+  CASE c_custkey % 4 WHEN 0 THEN 'A ' || c_custkey WHEN 1 THEN 'b: ' || c_custkey ELSE '' END AS due, '' AS po, '+' || c_custkey AS tel, 'a' || c_custkey || '@x.org' AS email, '' AS site FROM customer"""
+
+
 def running_number(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    return n.select("n_nationkey", F.row_number().over(Window.orderBy("n_name", "n_nationkey")).cast("string").alias("nomor"))
+    from ..operators.ground_truth import number_rows
+
+    return number_rows(_t(spark, sf_dir, "pages").select("page_id", F.split("url", "/").alias("_order"), "url"), "_order", "nomor").select("page_id", "nomor")
 
 
-_RUNNING = "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name, n_nationkey) AS VARCHAR) AS nomor FROM nation"
+_RUNNING = "SELECT page_id, CAST(row_number() OVER (ORDER BY string_split(url, '/')) AS VARCHAR) AS nomor FROM pages"
 
 
-def pair_candidates(spark, sf_dir, prefix="Doc1"):
+def pair_candidates(spark, sf_dir, prefix="Doc"):
     d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("stem"), F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"))
     n = _t(spark, sf_dir, "labels").select(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("stem"), F.concat(F.lit("b/"), F.col("doc_id").cast("string")).alias("path"))
     return sample.pair_candidates(d, n, prefix=prefix)
 
 
-_PAIRS = "SELECT DISTINCT 'Doc' || d.doc_id AS stem, 'a/' || d.doc_id AS left_path, 'b/' || d.doc_id AS right_path FROM documents d JOIN labels l USING (doc_id) WHERE starts_with('Doc' || d.doc_id, 'Doc1')"
+_PAIRS = "SELECT DISTINCT 'Doc' || d.doc_id AS stem, 'a/' || d.doc_id AS left_path, 'b/' || d.doc_id AS right_path FROM documents d JOIN labels l USING (doc_id)"
 
 
 def sample_pairs(spark, sf_dir):
@@ -378,12 +397,12 @@ _UNION = "SELECT doc_id, CASE WHEN bool_or(s = 0) THEN 0 ELSE 1 END AS side, doc
 
 def intersect(spark, sf_dir):
     a, b = _ids(spark, sf_dir)
-    return a.intersect(b)
+    return sample.common_keys(a, b, "doc_id")
 
 
 def except_both(spark, sf_dir):
     a, b = _ids(spark, sf_dir)
-    return a.join(b, "doc_id", "left_anti").select("doc_id", F.lit("only_documents").alias("side")).unionByName(b.join(a, "doc_id", "left_anti").select("doc_id", F.lit("only_labels").alias("side")))
+    return sample.unshared_keys(a, b, "doc_id", ("only_documents", "only_labels"))
 
 
 _EXCEPT = "SELECT doc_id, 'only_documents' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'only_labels' FROM labels ANTI JOIN documents USING (doc_id)"
@@ -452,6 +471,7 @@ _ALL = {
     "near_section_semi": (near_section, _NEAR),
     "best_contact": (best_contact, _BEST),
     "first_wins_dedup": (first_wins, _FIRST),
+    "ground_truth": (ground_truth_rows, _GROUND_TRUTH),
     "running_number": (running_number, _RUNNING),
     "pair_candidates": (pair_candidates, _PAIRS),
     "sample_pairs": (sample_pairs, _SAMPLE),

@@ -84,10 +84,13 @@ def write_csv(df: DataFrame, path: str) -> int:
 
 
 def documents_from_annotations(annotations: DataFrame) -> DataFrame:
-    """path, text: the page transcript that an annotation carries, the text source that needs no OCR engine."""
+    """path, text: the page transcript that an annotation carries, the text source that needs no OCR engine.
+
+    path is that of the image beside the annotation, whose name the extracted row has.
+    """
     from ..operators.ground_truth import annotation_text
 
-    return annotations.select("path", annotation_text(F.col("data"), "OTHER").alias("text"))
+    return annotations.select(F.regexp_replace("path", r"\.[^./]*$", ".jpg").alias("path"), annotation_text(F.col("data"), "OTHER").alias("text"))
 
 
 def ocr_text(images: DataFrame, read, lang: str = "eng") -> DataFrame:
