@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -63,7 +64,82 @@ def test_false_discovery_rejects_as_benjamini_hochberg(spark):
     cut = ss.rejection_bins(found, fdr=0.05, bins=1000)[5]
     ranked = sorted(p)
     k = max(i for i, x in enumerate(ranked, 1) if x <= 0.05 * i / 300)
-    import math
-
     mine = sum(math.floor(-math.log10(x) * 1000) >= cut for x in p)
     assert abs(mine - k) <= 2
+
+
+def brute_battery(token):
+    """(encoding's place, p) of one token, from the definitions of the three tests."""
+    which = next(i for i, (_, test, _) in enumerate(ss.ENCODINGS) if not test or re.search(test, token))
+    alphabet = ss.ENCODINGS[which][2]
+    plain = token.lower() if which in (0, 2) else token.replace("-", "+").replace("_", "/")
+    codes = [alphabet.index(c) for c in plain]
+    n, size = len(codes), len(alphabet)
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    two_sided = lambda z: min(1.0, 2 * tail(abs(z)))
+    upper = lambda z: tail(z) if z >= 0 else 1 - tail(-z)
+    mean = sum(codes) / n
+    spread = sum((x - mean) ** 2 for x in codes)
+    expected = n / size
+    chi = sum((codes.count(s) - expected) ** 2 / expected for s in range(size))
+    chi_mean, chi_var = size - 1, 2 * (size - 1) * (n - 1) / n
+    high = [x >= size / 2 for x in codes]
+    cross = 2 * sum(high) * (n - sum(high))
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    runs_var = cross * (cross - n) / (n * n * (n - 1))
+    p = [1e-300] * 3
+    if spread > 0:
+        p[0] = upper((chi - chi_mean) / math.sqrt(chi_var))
+        serial = sum((codes[i] - mean) * (codes[(i + 1) % n] - mean) for i in range(n)) / spread
+        p[2] = two_sided((serial + 1 / (n - 1)) * math.sqrt(n))
+    if runs_var > 0:
+        p[1] = two_sided((runs - cross / n - 1) / math.sqrt(runs_var))
+    x = -sum(math.log(max(v, 1e-300)) for v in p)
+    return which, max(math.exp(-x) * (1 + x + x * x / 2), 1e-300)
+
+
+def uniform_tokens(r, each):
+    """Planted tokens by encoding and length, all with a digit and a letter."""
+    out = {}
+    for name, _, alphabet in ss.ENCODINGS:
+        for n in (24, 32, 48):
+            found = []
+            while len(found) < each:
+                token = "".join(r.choice(alphabet) for _ in range(n))
+                if re.fullmatch(ss.CANDIDATE, token) and not re.fullmatch("[0-9a-f]{32,}", token):
+                    found.append(token)
+                elif name == "hex" and n >= 32:  # lower-case runs are a known shape
+                    found.append(token.upper())
+            out[name, n] = found
+    return out
+
+
+def ordinary_tokens(r, count):
+    """Slugs and names with a number, as prose holds them."""
+    words = "user account profile section introduction release archive summary table figure image version draft final notes chapter".split()
+    return [r.choice("-_/").join([*r.sample(words, 4), str(r.randrange(2000, 2030))]) for _ in range(count)]
+
+
+def test_battery_agrees_with_brute_force(spark):
+    r = random.Random(4)
+    tokens = [t for found in uniform_tokens(r, 5).values() for t in found] + ordinary_tokens(r, 40) + ["a" * 39 + "1", "ab12" * 10]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    got = rows.select("i", F.inline(ss.battery(ss.matches(F.col("t"), ss.CANDIDATE)))).collect()
+    assert sorted(x["i"] for x in got) == [i for i, t in enumerate(tokens) if re.fullmatch(ss.CANDIDATE, t)]
+    for x in got:
+        which, p = brute_battery(tokens[x["i"]])
+        assert abs(x["bits"] - len(tokens[x["i"]]) * math.log2(len(ss.ENCODINGS[which][2]))) < 1e-6
+        assert math.isclose(math.log(x["p"]), math.log(p), rel_tol=1e-3, abs_tol=1e-4), tokens[x["i"]]
+
+
+def test_planted_tokens_are_found_and_ordinary_ones_counted(spark):
+    """Recall on planted tokens, and the share of ordinary tokens among the reported ones."""
+    r = random.Random(5)
+    planted = [(kind, t) for kind, found in uniform_tokens(r, 40).items() for t in found]
+    tokens = planted + [(None, t) for t in ordinary_tokens(r, 600)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    reported = {x["doc_id"] for x in ss.scan_secrets(df).collect() if any(s["kind"] == 3 for s in x["spans"])}
+    recall = {k: sum(i in reported for i, (kind, _) in enumerate(tokens) if kind == k) / 40 for k in dict(planted)}
+    false = sum(i in reported for i, (kind, _) in enumerate(tokens) if kind is None)
+    print("recall", recall, "ordinary reported", false, "of 600, all reported", len(reported))
+    assert sum(recall.values()) / len(recall) > 0.9
