@@ -49,61 +49,66 @@ def _windows(items: list[tuple], n: int) -> dict[int, dict[tuple, list]]:
     return found
 
 
-class BlockScanner:
-    """Finds one block's windows in texts.
+_TABLE_BITS = 20
 
-    Words of the block have numbers and random codes; other words are 0 and part
-    a text into runs. Only runs as long as a window are hashed. A window's hash
-    must be marked in a bit table, then stand in the sorted array of the block's
-    hashes, then the words must be equal.
-    """
 
-    BITS = 20
-
-    def __init__(self, items: list[tuple], n: int):
-        found = _windows(items, n)
-        self.ids = {w: k for k, w in enumerate(sorted({w for at in found.values() for window in at for w in window}), 1)}
-        self.codes = mix64(np.arange(1, len(self.ids) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.sizes = []
-        for size, windows in sorted(found.items()):
-            numbers = np.array([[self.ids[w] for w in window] for window in windows])
-            keys = np.concatenate([window_hashes(self.codes[row], size) for row in numbers])
-            order = np.argsort(keys)
-            marks = np.zeros(1 << self.BITS, bool)
-            marks[keys >> np.uint64(64 - self.BITS)] = True
-            self.sizes.append((size, marks, keys[order], numbers[order], [list(windows.values())[k] for k in order]))
-
-    def find(self, words: list[bytes]) -> tuple[list[int], set]:
-        """Word ranges, flattened, and ids of items."""
-        hits, items = [], set()
-        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
-        gaps = np.flatnonzero(np.concatenate([[True], ids == 0, [True]]))
-        lengths = np.diff(gaps) - 1
-        for size, marks, keys, numbers, owners in self.sizes:
-            for run in np.flatnonzero(lengths >= size):
-                start = int(gaps[run])
-                own = ids[start : start + int(lengths[run])]
-                hashed = window_hashes(self.codes[own], size)
-                for i in np.flatnonzero(marks[hashed >> np.uint64(64 - self.BITS)]):
-                    k = int(np.searchsorted(keys, hashed[i]))
-                    while k < len(keys) and keys[k] == hashed[i]:
-                        if np.array_equal(numbers[k], own[i : i + size]):
-                            hits += [start + int(i), start + int(i) + size]
-                            items.update(owners[k])
-                        k += 1
-        return hits, items
+def scan_tables(items: list[tuple], n: int) -> tuple[dict, np.ndarray, list]:
+    """What finds the items' windows in texts, as plain values: executors read a broadcast without this package.
+
+    Words of the items have numbers and random codes; other words are 0 and part
+    a text into runs. By window size: a bit table, the sorted hashes of the windows, their words' numbers, and their items.
+    """
+    found = _windows(items, n)
+    ids = {w: k for k, w in enumerate(sorted({w for at in found.values() for window in at for w in window}), 1)}
+    codes = mix64(np.arange(1, len(ids) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sizes = []
+    for size, windows in sorted(found.items()):
+        owners = list(windows.values())
+        numbers = np.array([[ids[w] for w in window] for window in windows])
+        keys = np.concatenate([window_hashes(codes[row], size) for row in numbers])
+        order = np.argsort(keys)
+        marks = np.zeros(1 << _TABLE_BITS, bool)
+        marks[keys >> np.uint64(64 - _TABLE_BITS)] = True
+        sizes.append((size, marks, keys[order], numbers[order], [owners[k] for k in order]))
+    return ids, codes, sizes
+
+
+def find_windows(tables: tuple[dict, np.ndarray, list], words: list[bytes]) -> tuple[list[int], set]:
+    """Word ranges, flattened, and ids of items.
+
+    Only runs as long as a window are hashed. A window's hash must be marked in the bit
+    table, then stand in the sorted array of hashes, then the words must be equal.
+    """
+    numbers_of, codes, sizes = tables
+    hits, items = [], set()
+    ids = np.fromiter(map(numbers_of.get, words, repeat(0)), np.int64, len(words))
+    gaps = np.flatnonzero(np.concatenate([[True], ids == 0, [True]]))
+    lengths = np.diff(gaps) - 1
+    for size, marks, keys, numbers, owners in sizes:
+        for run in np.flatnonzero(lengths >= size):
+            start = int(gaps[run])
+            own = ids[start : start + int(lengths[run])]
+            hashed = window_hashes(codes[own], size)
+            for i in np.flatnonzero(marks[hashed >> np.uint64(64 - _TABLE_BITS)]):
+                k = int(np.searchsorted(keys, hashed[i]))
+                while k < len(keys) and keys[k] == hashed[i]:
+                    if np.array_equal(numbers[k], own[i : i + size]):
+                        hits += [start + int(i), start + int(i) + size]
+                        items.update(owners[k])
+                    k += 1
+    return hits, items
 
 
 def _scan(shared, names: list[str], text_col: str, added: list[str]):
-    """A mapInArrow function that adds the number of words, the hits (word ranges) and the items of a broadcast scanner."""
+    """A mapInArrow function that adds the number of words, the hits (word ranges) and the items from broadcast tables."""
 
     def run(batches):
-        scanner = shared.value
+        tables = shared.value
         for batch in batches:
             hits_out, items_out, n_out = [], [], []
             for text in batch.column(text_col):
                 words = fold_words(text.as_py())
-                found, owners = scanner.find(words)
+                found, owners = find_windows(tables, words)
                 n_out.append(len(words))
                 hits_out.append(_union(found))
                 items_out.append(sorted(x for x in owners if x is not None))
@@ -214,8 +219,8 @@ def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, text_col
     words = items.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if words > block_words:
         return _hits_by_join(docs, items, n, names, text_col, list(added), schema)
-    scanner = BlockScanner([(r[0], fold_words(r[1])) for r in items.toLocalIterator()], n)
-    return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(scanner), names, text_col, list(added)), schema)
+    tables = scan_tables([(r[0], fold_words(r[1])) for r in items.toLocalIterator()], n)
+    return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(tables), names, text_col, list(added)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n=10, mode="document", text_col="text") -> DataFrame:

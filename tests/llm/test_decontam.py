@@ -1,3 +1,4 @@
+import pickle
 import re
 
 import pytest
@@ -62,3 +63,10 @@ def test_empty_sides(spark):
     docs, items = frames(spark)
     assert dc.decontaminate(docs, items.limit(0)).count() == len(DOCS)
     assert dc.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_broadcast_tables_are_plain_values():
+    """Executors may not have this package: a broadcast is pickled by reference to it otherwise."""
+    tables = dc.scan_tables([(str(i), [b"w%d" % k for k in range(i, i + 12)]) for i in range(50)], 10)
+    assert b"quillframe" not in pickle.dumps(tables)
+    assert dc.find_windows(tables, [b"w%d" % k for k in range(3, 15)])[1] >= {"3"}
