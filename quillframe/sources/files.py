@@ -126,3 +126,27 @@ class ExtractionConfig:
             str(values.get("recursive") or "").strip().lower() in {"1", "true", "yes", "y"},
             [n.strip() for n in names if n.strip()],
         )
+
+    @classmethod
+    def from_table(cls, settings: DataFrame) -> ExtractionConfig:
+        """Settings from a key/value table: the columns name and value, one row a setting; of a repeated name the largest value counts."""
+        names = ["images_dir", "lang", "recursive", "value_columns"]
+        rows = settings.filter(F.col("name").isin(names)).groupBy("name").agg(F.max("value").alias("value")).collect()  # four rows at most
+        return cls.from_mapping({"images_dir": "", **{r["name"]: r["value"] for r in rows}})
+
+
+def resolve_folder(spark: SparkSession, value: str | None, bases: list[str], default: str) -> str:
+    """The folder that a setting means: a file stands for its folder, a relative path is sought below each of bases, nothing is the default.
+
+    A path that exists nowhere is taken below the first base.
+    """
+    raw = (value or "").strip()
+    if not raw:
+        return default
+    absolute = raw.startswith("/") or "://" in raw or not bases
+    tried = [raw] if absolute else [f"{b.rstrip('/')}/{raw}" for b in bases]
+    for path in tried:
+        fs, target = _file_system(spark, path)
+        if fs.exists(target):
+            return path if fs.getFileStatus(target).isDirectory() else path.rpartition("/")[0]
+    return tried[0]

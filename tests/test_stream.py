@@ -26,5 +26,5 @@ def test_stream(spark, tmp_path):
 
 
 def test_elapsed(spark):
-    df = spark.createDataFrame([(65,), (3661,)], "s int")
-    assert [r[0] for r in df.select(elapsed(F.col("s"))).collect()] == ["01:05", "01:01:01"]
+    df = spark.createDataFrame([(65,), (3661,), (360061,)], "s int")
+    assert [r[0] for r in df.select(elapsed(F.col("s"))).collect()] == ["01:05", "01:01:01", "100:01:01"]
