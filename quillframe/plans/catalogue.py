@@ -14,6 +14,7 @@ from ..functions.pytext import norm_key
 from ..operators import layout, sample, validate
 from ..operators.fields import canonical_label, key_values, targeted_fields
 from ..operators.layout import group_lines, near_section_join
+from .catalogue_layout import QUERIES
 from .extract import column_key, raw_fields
 
 
@@ -199,10 +200,6 @@ _TEL = r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(
 SELECT doc_id, array_to_string(list_transform(n, lambda x: '+(' || substr(x, 1, 3) || ')' || substr(x, 4, 3) || '-' || substr(x, 7, 4)), ' | ') AS tel FROM n"""
 
 
-def site_clean(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", clean.clean_site(F.col("url")).alias("site"))
-
-
 def site_score(spark, sf_dir):
     s = clean.site_score(F.col("url"))
     return _t(spark, sf_dir, "pages").select("page_id", *[s[c].cast("long").alias(c) for c in ("shape", "spaces", "marks", "length")])
@@ -414,11 +411,11 @@ def latency_stats(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     gap = (F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))) * 1000
-    return latency(e.select(gap.alias("written_ms"))).select("rows", F.col("min_ms").alias("min_ms"), "max_ms", "total_ms")
+    return latency(e.select(gap.alias("written_ms"))).select("rows", "avg_ms", "min_ms", "max_ms", "total_ms")
 
 
 _LATENCY = """WITH g AS (SELECT 1000 * (s - lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ms FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events))
-SELECT count(ms) AS rows, min(ms) AS min_ms, max(ms) AS max_ms, sum(ms)::BIGINT AS total_ms FROM g"""
+SELECT count(ms) AS rows, sum(ms)::DOUBLE / count(ms) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, sum(ms)::BIGINT AS total_ms FROM g"""
 
 
 def extract_invoices(spark, sf_dir):
@@ -460,7 +457,6 @@ _ALL = {
     "canonical_label": (canonical_labels, _CANONICAL),
     "email_clean": (email_clean, _EMAIL),
     "tel_clean": (tel_clean, _TEL),
-    "site_clean": (site_clean, None),
     "site_score": (site_score, _SITE_SCORE),
     "currency_clean": (currency_clean, _CURRENCY),
     "numeric_amount": (numeric_amount, _NUMERIC),
@@ -482,6 +478,7 @@ _ALL = {
     "latency_stats": (latency_stats, _LATENCY),
     "extract_invoices": (extract_invoices, _INVOICES),
     "norm_key": (norm_keys, _NORM),
+    **QUERIES,
 }
 
 
