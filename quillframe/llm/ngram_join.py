@@ -233,17 +233,51 @@ def _count_parts(bits: int):
         sizes = np.diff(np.concatenate([starts, [len(part)]]))
         sets = np.repeat(sizes, sizes)
         keep = sets > 1
-        out = np.empty(int(keep.sum()), _ROW)
-        out["fp"], out["sig"], out["code"], out["sets"] = fp[keep], part[keep].astype(np.int64) | (bucket << 32), code[keep], np.minimum(sets[keep], 2**31 - 1)
-        to = (mix64(fp[keep].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        values, starts = np.unique(to[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(out[order], starts[1:])] if len(values) else []
-        return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+        return _by_set(fp[keep], part[keep].astype(np.int64) | (bucket << 32), code[keep], sets[keep], bits)
 
     return _per_bucket(solve, ["parts", "unit", "fps", "codes"])
 
 
+def _by_set(fp, sig, code, sets, bits: int) -> pa.RecordBatch:
+    """_SHARED of signatures with their counts, by bucket of the set."""
+    out = np.empty(len(fp), _ROW)
+    out["fp"], out["sig"], out["code"], out["sets"] = fp, sig, code, np.minimum(sets, 2**31 - 1)
+    to = (mix64(out["fp"].copy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    values, starts = np.unique(to[order], return_index=True)
+    blobs = [x.tobytes() for x in np.split(out[order], starts[1:])] if len(values) else []
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+
+
+def _unpack(batches):
+    """_PARTS -> rows (sig, fp, code)."""
+    for batch in batches:
+        for bucket, part, unit, fps, codes in zip(*[batch.column(c).to_pylist() for c in ("bucket", "parts", "unit", "fps", "codes")], strict=True):
+            unit = np.frombuffer(unit, np.uint16)
+            sig = np.frombuffer(part, np.uint32).astype(np.int64) | (bucket << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.frombuffer(fps, np.int64)[unit]), pa.array(np.frombuffer(codes, np.int32)[unit])], names=["sig", "fp", "code"])
+
+
+def _count_hot(parts: DataFrame, hot: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """What _count_parts gives, of the hot buckets (bucket, salts): counted with partial sums, the counts joined back by signature and salt.
+
+    No task holds all sets of a signature. The second frame is a scratch table to release after use.
+    """
+    known = broadcast_if_small(hot)
+    bucket = F.shiftright("sig", 32).cast("int")
+    held = parts.join(known, "bucket", "left_semi").mapInArrow(_unpack, "sig long, fp long, code int")
+    once = materialize(held.groupBy("sig", "fp").agg(F.min("code").alias("code")), "hot-signatures")
+    counts = once.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").withColumn("bucket", bucket).join(known, "bucket")
+    counts = counts.select("sig", "sets", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = once.withColumn("bucket", bucket).join(known, "bucket").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+
+    def pack(batches):
+        for batch in batches:
+            yield _by_set(*[batch.column(c).to_numpy() for c in ("fp", "sig", "code", "sets")], bits)
+
+    return salted.join(counts, ["sig", "salt"]).select("fp", "sig", "code", "sets").mapInArrow(pack, _SHARED), once
+
+
 _GROUPS = "sig long, fp long, central long"
 
 
@@ -268,18 +302,29 @@ def _choose_signatures():
     return _per_bucket(solve, ["packed"])
 
 
-def shared_signatures(rows: DataFrame, elements: int, *, bucket=None, seeds=4) -> DataFrame:
+def shared_signatures(rows: DataFrame, elements: int, *, bucket=None, hot=4, seeds=4) -> DataFrame:
     """(sig, fp, central, size, weight) of the signatures that different sets share.
 
     elements is the sum of all sets' sizes, from which the number of buckets follows.
+    Buckets that hold more than `hot` times the mean, those of signatures that very many sets have, are counted in parts.
     Of signatures with the same sets one stays, with their number as weight; size is its number of sets.
     """
-    bits = max(3, int(np.ceil(np.log2(max(1, elements / (bucket or BUCKET))))))
+    each = bucket or BUCKET
+    bits = max(3, int(np.ceil(np.log2(max(1, elements / each)))))
     spread = lambda df: df.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     for seed in [*range(seeds), -1]:
-        parts = rows.select("text").mapInArrow(_sign(seed, bits), _PARTS)
-        counted = spread(parts).mapInArrow(_count_parts(bits), _SHARED)
+        parts = materialize(rows.select("text").mapInArrow(_sign(seed, bits), _PARTS), "signature-parts")
+        sizes = parts.groupBy("bucket").agg(F.sum(F.octet_length("parts") / 4).alias("held"))
+        large = materialize(sizes.filter((F.col("bucket") >= 0) & (F.col("held") > hot * each)).select("bucket", F.ceil(F.col("held") / each).cast("int").alias("salts")), "hot-buckets")
+        once = None
+        if large.isEmpty():
+            counted = spread(parts).mapInArrow(_count_parts(bits), _SHARED)
+        else:
+            cold = parts.join(broadcast_if_small(large), "bucket", "left_anti")
+            counted_hot, once = _count_hot(parts, large, bits)
+            counted = spread(cold).mapInArrow(_count_parts(bits), _SHARED).unionByName(counted_hot)
         signed = materialize(spread(counted).mapInArrow(_choose_signatures(), _GROUPS), "signatures")
+        release(parts, large, once)
         if signed.filter("fp is null").isEmpty():
             who = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
             sets = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *who).filter("size > 1")

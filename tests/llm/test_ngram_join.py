@@ -122,6 +122,17 @@ def test_large_signatures_are_dealt_over_tasks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs, rounds=1)} == brute(docs)
 
 
+def test_hot_buckets_are_counted_in_parts(spark):
+    """Every set shares one passage, so its signatures are in most sets; counts in salted parts are those of whole buckets."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(f"{passage} " + " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([10, 14, 80]))),) for _ in range(300)]
+    df = spark.createDataFrame(rows * 2, "text string").repartition(5)
+    found = [sorted(tuple(r) for r in nj.shared_signatures(df, 40_000, bucket=2000, hot=hot).collect()) for hot in (1e9, 2, 0)]
+    assert len(found[0]) > 300 and max(r[3] for r in found[0]) > 100
+    assert found[0] == found[1] == found[2]
+
+
 def test_without_rounds_all_pairs_remain(spark):
     docs = varied(6, [12, 90], groups=6, copies=6)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs, rounds=0)} == brute(docs)
