@@ -45,6 +45,10 @@ def _delete_all() -> None:
         _delete(spark, path)
 
 
+#: Bytes of a scratch table's row group, what a task holds while it writes or reads one.
+ROW_GROUP = 32 << 20
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return it as read from there.
 
@@ -53,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _CLEAN_UP.append((spark, path))
     found = spark.read.schema(df.schema).parquet(path)
     found._quillframe_path = path

@@ -51,7 +51,7 @@ FILL = 4.5
 #: Second-level parts of a first-level partition; a subset leaves one of them out.
 SECOND = 3
 #: Features that a bucket holds in the mean, and rows of one signature that a task of a join reads at most.
-BUCKET, SPLIT = 2_000_000, 20_000
+BUCKET, SPLIT = 1_000_000, 20_000
 
 
 def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -142,7 +142,7 @@ def _describe(batches):
 _PARTS = "bucket int, parts binary, unit binary, fps binary, codes binary"
 
 
-def _sign(seed: int, bits: int, flush=1 << 21, units=60_000):
+def _sign(seed: int, bits: int, flush=1 << 20, units=60_000):
     """Rows with text -> rows of _PARTS: signatures of many sets, by bucket of the signature.
 
     Bucket and part are the first `bits` and the next 32 bits of the signature's hash. unit (uint16) leads from a part to fps and codes of its set; a code is
