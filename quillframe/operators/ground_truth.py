@@ -42,10 +42,13 @@ def ground_truth(annotations: DataFrame) -> DataFrame:
     return number_rows(rows, "_order", "Nomor").select(*COLUMNS)
 
 
-def number_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """rows with a column of 1..n as text in the given order.
+def number_rows(rows: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """rows with a column of 1..n as text in the order of one or several columns, nulls last.
+
+    Rows equal in all of them are numbered as they come; columns that tell all rows apart give the same numbers in every run.
 
     A rank over all rows has one sequence, so the rows meet in one task; they are
     as many as there are annotation files, and narrow.
     """
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("string"))
+    by = [F.col(c).asc_nulls_last() for c in ([order] if isinstance(order, str) else order)]
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("string"))

@@ -110,3 +110,28 @@ def test_config():
 def test_ordered_union(spark):
     assert validate.ordered_union(["b", "a"], ["a", "c"]) == ["b", "a", "c"]
     assert spark.range(3).select(F.lit(1)).count() == 3
+
+
+def test_running_number_of_equal_and_missing_addresses(spark, tmp_path):
+    from collections import defaultdict
+
+    import duckdb
+
+    from quillframe.plans import catalogue
+
+    rows = [(i, None if i % 50 == 7 else f"http://a/{i * 7 % 30}" + "/x" * (i % 2)) for i in range(200)]
+    sql = defaultdict(set)
+    for n, order in enumerate((rows, rows[::-1])):
+        folder = tmp_path / str(n)
+        spark.createDataFrame(order, "page_id long, url string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+        for page, number in con.execute(catalogue.oracle_sql()["running_number"]).fetchall():
+            sql[n, dict(rows)[page]].add(int(number))
+        got = {r["page_id"]: int(r["nomor"]) for r in catalogue.running_number(spark, str(folder)).collect()}
+        # what the SQL leaves open goes by page_id, however the rows are dealt
+        pages = defaultdict(list)
+        for page, url in rows:
+            pages[url].append(page)
+        for url, same in pages.items():
+            assert [got[p] for p in same] == sorted(sql[n, url])
