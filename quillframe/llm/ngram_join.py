@@ -19,8 +19,9 @@ fewer cannot sign; then the whole table signs again under another seed, and in t
 end with one part per element, so no link is lost.
 
 Signatures travel as packed arrays, once to the bucket of their hash, where they are
-counted and those of one set alone fall out, and once, with their counts, to
-the bucket of their set, where the first 2k + 1 are chosen. Signatures that the very same
+counted and those that occur once fall out, and once, with their counts, back to
+their set, where the first 2k + 1 are chosen. On both ways a number within a block of sets stands
+for the set, so their bytes don't depend on the number of buckets. Signatures that the very same
 sets share become one. Sets that share one are candidates; their similarity is
 computed on whole sets. Equal sets are one node from the start, and links are
 sought until components are known:
@@ -38,11 +39,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import WordHashes, broadcast_if_small, materialize, mix64, release, table, window_hashes
+from ._shared import BROADCAST_ROWS, WordHashes, broadcast_if_small, materialize, mix64, release, table, window_hashes
 
 SHINGLE = 5
 SINGLE = 64
@@ -139,33 +141,47 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["_id", "text_key", "n_shingles", "fp"])
 
 
-_PARTS = "bucket int, parts binary, unit binary, fps binary, codes binary"
+_PARTS = "bucket int, block long, parts binary, units binary, fps binary, codes binary"
+#: Bits of a set's unit, its number in a block, and of a block's number in its task.
+UNIT_BITS, BLOCK_BITS = 16, 24
+
+
+def _pack_units(units: np.ndarray) -> bytes:
+    """Ascending uint16 as differences, low bytes first, then the high ones, which are nearly all 0 and compress."""
+    return np.diff(units, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unpack_units(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(2, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint16).ravel(), dtype=np.uint16)
 
 
 def _sign(seed: int, bits: int, flush=1 << 20, units=60_000):
-    """Rows with text -> rows of _PARTS: signatures of many sets, by bucket of the signature.
+    """Rows with text -> rows of _PARTS: signatures of a block of many sets, by bucket of the signature, and a row of the block's sets.
 
-    Bucket and part are the first `bits` and the next 32 bits of the signature's hash. unit (uint16) leads from a part to fps and codes of its set; a code is
-    2 * slack + place among the set's schemes. bucket -1: a set couldn't sign.
+    Bucket and part are the first `bits` and the next 32 bits of the signature's hash. A unit (uint16) is a set under one of its schemes; it leads
+    to fps and codes in the row of the block, whose bucket is null; a code is 2 * slack + place among the set's schemes. bucket -1: a set couldn't sign.
     """
 
-    def packed(parts, fps, codes):
+    def batch_of(*cols):
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "block", "parts", "units", "fps", "codes"])
+
+    def packed(block, parts, fps, codes):
         part = np.concatenate(parts)
         unit = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
         bucket = (part >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         part, unit = ((part[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), unit[order]
         values, starts = np.unique(bucket[order], return_index=True)
-        table_fp, table_code = np.array(fps, np.int64), np.array(codes, np.int32)
-        cols = [[], [], [], []]
-        for p, u in zip(np.split(part, starts[1:]), np.split(unit, starts[1:]), strict=True):
-            own, short = np.unique(u, return_inverse=True)
-            for col, x in zip(cols, (p, short.astype(np.uint16), table_fp[own], table_code[own]), strict=True):
-                col.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "parts", "unit", "fps", "codes"])
+        n = len(values)
+        own = [x.tobytes() for x in np.split(part, starts[1:])], [_pack_units(x) for x in np.split(unit, starts[1:])]
+        sets = np.array(fps, np.int64).tobytes(), np.array(codes, np.int32).tobytes()
+        return batch_of([*values.tolist(), None], [block] * (n + 1), [*own[0], None], [*own[1], None], [None] * n + [sets[0]], [None] * n + [sets[1]])
 
     def run(batches):
         hashes, seen = WordHashes(), set()
+        block = TaskContext.get().partitionId() << BLOCK_BITS
         parts, fps, codes, size = [], [], [], 0
         for batch in batches:
             for text in batch.column("text"):
@@ -178,36 +194,36 @@ def _sign(seed: int, bits: int, flush=1 << 20, units=60_000):
                 seen.add(fp)
                 own = schemes(found, seed)
                 if own is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([b""], pa.binary())] * 4], names=["bucket", "parts", "unit", "fps", "codes"])
+                    yield batch_of([-1], *[[None]] * 5)
                     continue
                 for place, (x, slack) in enumerate(own):
                     parts.append(x), fps.append(fp), codes.append(2 * slack + place)
                     size += len(x)
                 if size >= flush or len(parts) >= units:
-                    yield packed(parts, fps, codes)
+                    yield packed(block, parts, fps, codes)
+                    block += 1
                     parts, fps, codes, size = [], [], [], 0
         if size:
-            yield packed(parts, fps, codes)
+            yield packed(block, parts, fps, codes)
 
     return run
 
 
-_SHARED = "bucket int, packed binary"
-_ROW = np.dtype([("fp", np.int64), ("sig", np.int64), ("code", np.int32), ("sets", np.int32)])
+_SHARED = "block long, packed binary"
 
 
-def _per_bucket(solve, columns):
-    """A mapInArrow function for rows ordered by bucket: solve gets the columns' values of one bucket at a time; bucket -1 gets its own call."""
+def _per_key(solve, key, columns):
+    """A mapInArrow function for rows ordered by key: solve gets the columns' values of one key at a time; key -1 gets its own call."""
 
     def run(batches):
         held, at = [], None
         for batch in batches:
             cols = [batch.column(c) for c in columns]
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                if held and bucket != at:
+            for i, own in enumerate(batch.column(key).to_pylist()):
+                if held and own != at:
                     yield solve(at, held)
                     held = []
-                at = bucket
+                at = own
                 held.append([c[i].as_py() for c in cols])
         if held:
             yield solve(at, held)
@@ -215,91 +231,128 @@ def _per_bucket(solve, columns):
     return run
 
 
-def _count_parts(bits: int):
-    """_PARTS of a bucket -> _SHARED: signatures of two sets or more with their counts, by bucket of the set."""
+def _count_parts():
+    """_PARTS of a bucket -> _SHARED: signatures that occur twice or more with their counts, by block of the set."""
 
     def solve(bucket, rows):
         if bucket < 0:
-            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "packed"])
-        part = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
-        fp = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16)] for r in rows])
-        code = np.concatenate([np.frombuffer(r[3], np.int32)[np.frombuffer(r[1], np.uint16)] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary())], names=["block", "packed"])
+        part = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+        unit = np.concatenate([_unpack_units(r[2]) for r in rows])
+        block = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 4 for r in rows])
         rows.clear()
-        order = np.lexsort((fp, part))
-        part, fp, code = part[order], fp[order], code[order]
-        new = np.concatenate([[True], (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])])
-        part, fp, code = part[new], fp[new], code[new]
+        order = np.argsort(part)
+        part = part[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(part)]]))
         sets = np.repeat(sizes, sizes)
         keep = sets > 1
-        return _by_set(fp[keep], part[keep].astype(np.int64) | (bucket << 32), code[keep], sets[keep], bits)
+        order = order[keep]
+        return _by_block(block[order], unit[order], part[keep].astype(np.int64) | (bucket << 32), sets[keep])
 
-    return _per_bucket(solve, ["parts", "unit", "fps", "codes"])
+    return _per_key(solve, "bucket", ["block", "parts", "units"])
 
 
-def _by_set(fp, sig, code, sets, bits: int) -> pa.RecordBatch:
-    """_SHARED of signatures with their counts, by bucket of the set."""
-    out = np.empty(len(fp), _ROW)
-    out["fp"], out["sig"], out["code"], out["sets"] = fp, sig, code, np.minimum(sets, 2**31 - 1)
-    to = (mix64(out["fp"].copy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    values, starts = np.unique(to[order], return_index=True)
-    blobs = [x.tobytes() for x in np.split(out[order], starts[1:])] if len(values) else []
-    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+def _by_block(block, unit, sig, sets) -> pa.RecordBatch:
+    """_SHARED of signatures with their counts, by block of the set: all signatures, then all counts, then all units."""
+    order = np.argsort(block, kind="stable")
+    values, starts = np.unique(block[order], return_index=True)
+    cols = [np.split(x[order], starts[1:]) for x in (sig.astype(np.int64), np.minimum(sets, 2**31 - 1).astype(np.int32), unit.astype(np.uint16))]
+    blobs = [b"".join(x.tobytes() for x in own) for own in zip(*cols, strict=True)] if len(values) else []
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "packed"])
 
 
 def _unpack(batches):
-    """_PARTS -> rows (sig, fp, code)."""
+    """_PARTS -> rows (sig, block, unit)."""
     for batch in batches:
-        for bucket, part, unit, fps, codes in zip(*[batch.column(c).to_pylist() for c in ("bucket", "parts", "unit", "fps", "codes")], strict=True):
-            unit = np.frombuffer(unit, np.uint16)
+        for bucket, block, part, units in zip(*[batch.column(c).to_pylist() for c in ("bucket", "block", "parts", "units")], strict=True):
             sig = np.frombuffer(part, np.uint32).astype(np.int64) | (bucket << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.frombuffer(fps, np.int64)[unit]), pa.array(np.frombuffer(codes, np.int32)[unit])], names=["sig", "fp", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), block, np.int64)), pa.array(_unpack_units(units).astype(np.int32))], names=["sig", "block", "unit"])
 
 
-def _count_hot(parts: DataFrame, hot: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def _count_hot(parts: DataFrame, hot: DataFrame) -> DataFrame:
     """What _count_parts gives, of the hot buckets (bucket, salts): counted with partial sums, the counts joined back by signature and salt.
 
-    No task holds all sets of a signature. The second frame is a scratch table to release after use.
+    No task holds all sets of a signature.
     """
     known = broadcast_if_small(hot)
     bucket = F.shiftright("sig", 32).cast("int")
-    held = parts.join(known, "bucket", "left_semi").mapInArrow(_unpack, "sig long, fp long, code int")
-    once = materialize(held.groupBy("sig", "fp").agg(F.min("code").alias("code")), "hot-signatures")
-    counts = once.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").withColumn("bucket", bucket).join(known, "bucket")
+    held = parts.join(known, "bucket", "left_semi").mapInArrow(_unpack, "sig long, block long, unit int")
+    counts = held.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").withColumn("bucket", bucket).join(known, "bucket")
     counts = counts.select("sig", "sets", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = once.withColumn("bucket", bucket).join(known, "bucket").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    salted = held.withColumn("bucket", bucket).join(known, "bucket").withColumn("salt", F.pmod(F.xxhash64("block", "unit"), F.col("salts")).cast("int"))
 
     def pack(batches):
         for batch in batches:
-            yield _by_set(*[batch.column(c).to_numpy() for c in ("fp", "sig", "code", "sets")], bits)
+            yield _by_block(*[batch.column(c).to_numpy() for c in ("block", "unit", "sig", "sets")])
+
+    return salted.join(counts, ["sig", "salt"]).select("block", "unit", "sig", "sets").mapInArrow(pack, _SHARED)
 
-    return salted.join(counts, ["sig", "salt"]).select("fp", "sig", "code", "sets").mapInArrow(pack, _SHARED), once
+
+def _list_units(batches):
+    """Rows of blocks -> rows (fp, code, at); at is block and unit in one number."""
+    for batch in batches:
+        for block, fps, codes in zip(*[batch.column(c).to_pylist() for c in ("block", "fps", "codes")], strict=True):
+            fp, code = np.frombuffer(fps, np.int64), np.frombuffer(codes, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(code), pa.array(np.arange(len(fp)) + (block << UNIT_BITS))], names=["fp", "code", "at"])
+
+
+def _repeated_units(blocks: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(block, gone) of the units whose set has signed elsewhere too, all but its first; None if there are none. The second frame is a scratch table."""
+    units = blocks.mapInArrow(_list_units, "fp long, code int, at long")
+    twice = materialize(units.groupBy("fp", "code").agg(F.min("at").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "signed-twice")
+    if twice.isEmpty():
+        return None, twice
+    more = units.join(broadcast_if_small(twice), ["fp", "code"]).filter("at > stays")
+    return more.groupBy(F.shiftright("at", UNIT_BITS).alias("block")).agg(F.collect_list(F.col("at").bitwiseAND((1 << UNIT_BITS) - 1).cast("int")).alias("gone")), twice
 
 
 _GROUPS = "sig long, fp long, central long"
 
 
 def _choose_signatures():
-    """_SHARED of a bucket of sets -> (sig, fp, central): each set's signatures that other sets have as parts.
+    """_SHARED of a block, with its row of sets and its units to leave out -> (sig, fp, central): each set's signatures that other sets have as parts.
 
     central adds up how many sets share the set's parts.
     """
 
-    def solve(bucket, rows):
-        if bucket < 0:
-            return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([None], pa.int64())] * 2], names=["sig", "fp", "central"])
-        x = np.concatenate([np.frombuffer(r[0], _ROW) for r in rows])
-        x = x[np.lexsort((x["sig"], x["sets"], x["code"], x["fp"]))]
-        starts = np.flatnonzero(np.concatenate([[True], (x["fp"][1:] != x["fp"][:-1]) | (x["code"][1:] != x["code"][:-1])]))
-        sizes = np.diff(np.concatenate([starts, [len(x)]]))
-        rank = np.arange(len(x)) - np.repeat(starts, sizes)
-        keep = rank < np.repeat(sizes, sizes) - (x["code"] >> 1)
-        central = np.repeat(np.add.reduceat(x["sets"].astype(np.int64), starts), sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["sig"][keep])), pa.array(np.ascontiguousarray(x["fp"][keep])), pa.array(central[keep])], names=["sig", "fp", "central"])
-
-    return _per_bucket(solve, ["packed"])
+    def rows_of(sig, fp, central):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, fp, central)], names=["sig", "fp", "central"])
+
+    def solve(block, rows):
+        if block < 0:
+            return rows_of([0], [None], [None])
+        packs = [r[0] for r in rows if r[0] is not None]
+        cols = [[], [], []]
+        for x in packs:
+            n = len(x) // 14
+            for col, kind, at in zip(cols, (np.int64, np.int32, np.uint16), (0, 8 * n, 12 * n), strict=True):
+                col.append(np.frombuffer(x, kind, n, at))
+        if not packs:
+            return rows_of([], [], [])
+        sig, sets, unit = map(np.concatenate, cols)
+        fps, codes = next((np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32)) for r in rows if r[1] is not None)
+        gone = [g for r in rows for g in r[3] or []]
+        if gone:
+            stays = ~np.isin(unit, np.array(gone, np.uint16))
+            sig, sets, unit = sig[stays], sets[stays], unit[stays]
+        if not len(sig):
+            return rows_of([], [], [])
+        order = np.lexsort((sig, sets, unit))
+        sig, sets, unit = sig[order], sets[order].astype(np.int64), unit[order]
+        starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(unit)]]))
+        rank = np.arange(len(unit)) - np.repeat(starts, sizes)
+        keep = rank < np.repeat(sizes - (codes[unit[starts]] >> 1), sizes)
+        central = np.repeat(np.add.reduceat(sets, starts), sizes)[keep]
+        sig, fp = sig[keep], fps[unit[keep]]
+        # a set has a signature once, under whichever schemes
+        order = np.lexsort((-central, fp, sig))
+        sig, fp, central = sig[order], fp[order], central[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])])[: len(sig)]
+        return rows_of(sig[new], fp[new], central[new])
+
+    return _per_key(solve, "block", ["packed", "fps", "codes", "gone"])
 
 
 def shared_signatures(rows: DataFrame, elements: int, *, bucket=None, hot=4, seeds=4) -> DataFrame:
@@ -307,24 +360,28 @@ def shared_signatures(rows: DataFrame, elements: int, *, bucket=None, hot=4, see
 
     elements is the sum of all sets' sizes, from which the number of buckets follows.
     Buckets that hold more than `hot` times the mean, those of signatures that very many sets have, are counted in parts.
+    Rows that repeat a set add to the counts, which give an order only, and sign once.
     Of signatures with the same sets one stays, with their number as weight; size is its number of sets.
     """
     each = bucket or BUCKET
     bits = max(3, int(np.ceil(np.log2(max(1, elements / each)))))
-    spread = lambda df: df.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    spread = lambda df, key: df.repartition(1 << bits, key).sortWithinPartitions(key)
     for seed in [*range(seeds), -1]:
-        parts = materialize(rows.select("text").mapInArrow(_sign(seed, bits), _PARTS), "signature-parts")
+        signs = materialize(rows.select("text").mapInArrow(_sign(seed, bits), _PARTS), "signature-parts")
+        parts = signs.filter("bucket is not null").select("bucket", "block", "parts", "units")
+        blocks = signs.filter("fps is not null").select("block", "fps", "codes")
         sizes = parts.groupBy("bucket").agg(F.sum(F.octet_length("parts") / 4).alias("held"))
         large = materialize(sizes.filter((F.col("bucket") >= 0) & (F.col("held") > hot * each)).select("bucket", F.ceil(F.col("held") / each).cast("int").alias("salts")), "hot-buckets")
-        once = None
         if large.isEmpty():
-            counted = spread(parts).mapInArrow(_count_parts(bits), _SHARED)
+            counted = spread(parts, "bucket").mapInArrow(_count_parts(), _SHARED)
         else:
             cold = parts.join(broadcast_if_small(large), "bucket", "left_anti")
-            counted_hot, once = _count_hot(parts, large, bits)
-            counted = spread(cold).mapInArrow(_count_parts(bits), _SHARED).unionByName(counted_hot)
-        signed = materialize(spread(counted).mapInArrow(_choose_signatures(), _GROUPS), "signatures")
-        release(parts, large, once)
+            counted = spread(cold, "bucket").mapInArrow(_count_parts(), _SHARED).unionByName(_count_hot(parts, large))
+        gone, twice = _repeated_units(blocks)
+        known = counted.unionByName(blocks, allowMissingColumns=True)
+        known = known.unionByName(gone, allowMissingColumns=True) if gone is not None else known.withColumn("gone", F.lit(None).cast("array<int>"))
+        signed = materialize(spread(known, "block").mapInArrow(_choose_signatures(), _GROUPS), "signatures")
+        release(signs, large, twice)
         if signed.filter("fp is null").isEmpty():
             who = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
             sets = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *who).filter("size > 1")
@@ -460,7 +517,8 @@ def _remaining_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bloc
 
     Members of a signature are dealt into blocks of about `block`, those of its largest
     component into blocks of their own, which meet the others but not each
-    other; no row and no task holds more than two blocks at a time.
+    other; no row and no task holds more than two blocks at a time. Up to `block` members
+    are one block.
     """
     named = groups.select("sig", "fp", "size").join(labels, "fp")
     by_component = named.groupBy("sig", "size", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -468,9 +526,9 @@ def _remaining_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bloc
     spanning = _meet(named, cross)
     first = spanning.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
     members = spanning.join(sets.select("fp", "n", "hist").join(first, "fp"), "fp")
-    inner, outer = (F.ceil(x / block).cast("int") for x in (F.col("main.k"), F.col("size") - F.col("main.k")))
-    own = lambda blocks: F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = members.select("sig", inner.alias("inner"), outer.alias("outer"), F.when(F.col("component") == F.col("main.component"), own(inner)).otherwise(inner + own(outer)).alias("block"), F.struct("fp", "component", "n", "hist", "first").alias("member"))
+    inner, outer = (F.when(F.col("size") <= block, few).otherwise(F.ceil(x / block)).cast("int") for x, few in ((F.col("main.k"), 0), (F.col("size") - F.col("main.k"), 1)))
+    own = lambda blocks: F.pmod(F.xxhash64("fp"), F.greatest(blocks, F.lit(1))).cast("int")
+    dealt = members.select("sig", inner.alias("inner"), outer.alias("outer"), F.when((F.col("component") == F.col("main.component")) & (inner > 0), own(inner)).otherwise(inner + own(outer)).alias("block"), F.struct("fp", "component", "n", "hist", "first").alias("member"))
     lists = materialize(dealt.groupBy("sig", "block", "inner", "outer").agg(F.collect_list("member").alias("members")), "blocks")
     rest = lists.filter("block >= inner")
     alone = rest.select("sig", F.col("members").alias("left"), F.lit(None).cast(_MEMBER).alias("right"))
@@ -501,6 +559,19 @@ def _best_pairs(groups: DataFrame, labels: DataFrame | None, tested: DataFrame |
     return ranked.filter(F.col("rank") <= each).select("a", "b").distinct()
 
 
+def _without_copies(rows: DataFrame, described: DataFrame) -> DataFrame:
+    """rows without most of those that repeat the set of another; all rows where such are too many to broadcast."""
+    pick = F.xxhash64("_id", "text_key")
+    held = described.filter("fp is not null")
+    copied = materialize(held.groupBy("fp").agg(F.min(pick).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
+    if copied.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0] > BROADCAST_ROWS:
+        return rows
+    copies = held.join(F.broadcast(copied), "fp").filter(pick != F.col("stays")).select(F.col("_id").alias("c_id"), F.col("text_key").alias("c_key"))
+    copies = materialize(copies.distinct(), "copies")
+    same = rows["_id"].eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_key"))
+    return rows.join(F.broadcast(copies), same, "left_anti")
+
+
 def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", rounds=2) -> DataFrame:
     """A row per row of docs: id_col, n_shingles, component_id, class_key, text_key.
 
@@ -518,7 +589,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", roun
     described = materialize(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, f"_id {id_type}, text_key long, n_shingles long, fp long"), "shingle-sets")
     first = described.filter("fp is not null").groupBy("fp").agg(F.min("_id").alias("_id"))
     elements = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    groups = shared_signatures(rows, elements)
+    groups = shared_signatures(_without_copies(rows, described), elements)
     if groups.isEmpty():
         labels = None
     else:

@@ -133,6 +133,28 @@ def test_hot_buckets_are_counted_in_parts(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_bytes_of_signatures_do_not_depend_on_buckets(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(" ".join(f"w{rng.randrange(9000)}" for _ in range(300)),) for _ in range(400)], "text string").repartition(1)
+    n = sum(len(x) for (t,) in df.collect() for x, _ in nj.schemes(nj.shingles(t, nj.WordHashes()), 0))
+    for bits in (3, 9):
+        signed = df.mapInArrow(nj._sign(0, bits), nj._PARTS)
+        held = sum(len(v) for r in signed.collect() for v in r if isinstance(v, (bytes, bytearray)))
+        assert 4 * n < held < 6.2 * n
+
+
+def test_repeated_sets_sign_once(spark):
+    """Also where a set is in several blocks: a signature has each set once, and size is their number."""
+    docs = [(t,) for _, t in varied(8, [30, 90, 140], groups=6)]
+    once, often = (spark.createDataFrame(docs * k, "text string").repartition(k) for k in (1, 4))
+    found = [nj.shared_signatures(df, 40_000).collect() for df in (once, often)]
+    for rows in found:
+        assert rows and len({(r["sig"], r["fp"]) for r in rows}) == len(rows)
+        for sig in {r["sig"] for r in rows}:
+            assert {r["size"] for r in rows if r["sig"] == sig} == {sum(r["sig"] == sig for r in rows)}
+    assert {r["fp"] for r in found[0]} == {r["fp"] for r in found[1]}
+
+
 def test_without_rounds_all_pairs_remain(spark):
     docs = varied(6, [12, 90], groups=6, copies=6)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, docs, rounds=0)} == brute(docs)
